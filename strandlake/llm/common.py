@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key table up to which it is broadcast; above, Spark shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 #: Words whose hash a worker keeps; the memory is emptied when it is full.
 WORD_CACHE = 300_000
 
