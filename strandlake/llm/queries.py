@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, html_text, language, ngram_join, pack, passages, quality, tokens
+from strandlake.llm import decontaminate, html_text, language, lines, ngram_join, pack, passages, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.packed_matrices(table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_counts, op4_token_output, op6_html_extraction, op7_language_id, op8_best_fit_packing, op9_ngram_join, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_token_counts, op4_token_output, op5_line_dedup, op6_html_extraction, op7_language_id, op8_best_fit_packing, op9_ngram_join, op10_decontamination)}
 
 _OP10 = r"""
 WITH low AS (
