@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import decontaminate, pack, quality, tokens
+from strandlake.llm import decontaminate, lines, ngram_join, pack, quality, tokens
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,16 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_only(docs)
 
 
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that match an earlier line."""
+    return lines.without_later_matches(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -24,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack.packed_documents(docs, tokens.tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", rules), ("decontamination", clean_of_benchmark), ("packing", packed)]
+STAGES = [("quality_rules", rules), ("line_dedup", new_lines), ("ngram_join", one_of_each), ("decontamination", clean_of_benchmark), ("packing", packed)]
 
 #: Several stages can't be expressed in SQL.
 ORACLE_SQL = None
