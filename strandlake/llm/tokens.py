@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import as_bytes, map_arrow, split_words
 
 #: Characters of a text that are encoded at once; longer texts go through ``spliced``.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 65_536, 512
 #: No boundary nearer than this to a cut counts: longer than a special token and any look-ahead of the pattern.
 GUARD = 16
 #: Bytes of text given to the library in one call, and words that a worker keeps.
