@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from strandlake.plans import counts, coverage, records, sequences, spans
+from strandlake.plans.common import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (coverage, spans, sequences, records, counts)
+QUERIES: dict[str, Query] = {name: f for m in _MODULES for name, f in m.query.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.query.sql.items()}
