@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ CHUNK, OVERLAP = 65_536, 512
 #: No boundary nearer than this to a cut counts: longer than a special token and any look-ahead of the pattern.
 GUARD = 16
 #: Bytes of text given to the library in one call, and words that a worker keeps.
-CALL_BYTES, KEPT_WORDS, KEPT_LENGTH = 1_000_000, 700_000, 40
+CALL_BYTES, KEPT_WORDS, KEPT_LENGTH = 1_000_000, 800_000, 40
 
 
 def tokenizer_path(name: str) -> str:
@@ -140,32 +141,72 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     return map_arrow(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
+#: A word of Latin letters that keep their form under NFC, and punctuation behind it: two pre-tokens, or one.
+_PLAIN = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte to the character that stands for it in byte-level vocabularies: printable ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class WordIds(dict):
-    """Ids of words as little-endian unsigned 32-bit bytes, for tokenizers that drop white space.
+    """Ids of words as little-endian unsigned 32-bit bytes, for a lower-casing tokenizer that drops white space.
 
     Such a tokenizer normalises and splits within white-space-free pieces only, so
-    the ids of a text are those of its pieces in turn. Frequent pieces are kept.
+    the ids of a text are those of its pieces in turn. Plain words go to its model
+    at once, others through all its steps. Pieces are kept, for a bounded number.
     """
 
     def __init__(self, tok):
         super().__init__()
-        self.tok = tok
+        self.tok, self.model, self.letters = tok, tok.model, byte_letters()
+        self._marks = lru_cache(10_000)(lambda marks: array("I", self._plain(marks)).tobytes())
+
+    def _plain(self, pre_token: str) -> list[int]:
+        if not pre_token.isascii():
+            pre_token = pre_token.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(pre_token)]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        found, rest = {}, []
+        for w in words:
+            low = w.lower()
+            stem = low if low.isalpha() else low[:-1] if low[-1:] in b".,;:!?" and low[:-1].isalpha() else None
+            if stem is not None:  # ASCII letters, and one mark behind them
+                ids = self.get(stem) or found.get(stem) or array("I", [t.id for t in self.model.tokenize(stem.decode())]).tobytes()
+                found[w] = ids if len(stem) == len(low) else ids + self._marks(low[-1:].decode())
+            elif m := _PLAIN.fullmatch(w.decode()):
+                ids = array("I", self._plain(m[1].lower())).tobytes()
+                found[w] = ids + self._marks(m[2]) if m[2] else ids
+            else:
+                rest.append(w)
+        for k in range(0, len(rest), 10_000):
+            part = rest[k : k + 10_000]
+            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                found[w] = array("I", e.ids).tobytes()
+        return found
 
     def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        for a, b in grouped(texts, 4 * CALL_BYTES):
+        for a, b in grouped(texts):
             words = [split_words(t) for t in texts[a:b]]
-            if len(self) > KEPT_WORDS:
+            ids = [list(map(self.get, ws)) for ws in words]
+            gaps = []
+            for xs in ids:
+                at, k = [], -1
+                for _ in range(xs.count(None)):
+                    at.append(k := xs.index(None, k + 1))
+                gaps.append(at)
+            found = self._learn({ws[k] for ws, at in zip(words, gaps, strict=True) for k in at})
+            for ws, xs, at in zip(words, ids, gaps, strict=True):
+                for k in at:
+                    xs[k] = found[ws[k]]
+                yield b"".join(xs)
+            if len(self) + len(found) > KEPT_WORDS:
                 self.clear()
-            missing = list({w for ws in words for w in ws if w not in self})
-            for k in range(0, len(missing), 50_000):
-                part = missing[k : k + 50_000]
-                for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self[w] = array("I", e.ids).tobytes()
-            for ws in words:
-                yield b"".join(map(self.__getitem__, ws))
-            for w in missing:
-                if len(w) > KEPT_LENGTH:
-                    del self[w]
+            self.update((w, x) for w, x in found.items() if len(w) <= KEPT_LENGTH)
 
 
 @cache
