@@ -109,11 +109,11 @@ def lineage(nodes: DataFrame, depth: int, *, node: str = "id", parent: str = "pa
     return paths.select("id", "path")
 
 
-def lowest_common(paths: Column) -> Column:
-    """Last element of the common start of an array of paths; null if there is none."""
-    shortest = F.array_min(F.transform(paths, F.size))
-    common = F.filter(F.sequence(F.lit(1), shortest), lambda i: F.size(F.array_distinct(F.transform(paths, lambda p: F.slice(p, F.lit(1), i)))) == 1)
-    return F.when(F.size(common) > 0, F.element_at(F.element_at(paths, 1), F.array_max(common)))
+def lowest_common(path: str) -> Column:
+    """Aggregate: the last element of the common start of paths, null if there is none. What the least and the greatest path share, all share."""
+    low, high = F.min(path), F.max(path)
+    same = F.filter(F.zip_with(low, high, lambda a, b: F.when(a == b, a)), lambda x, i: F.slice(low, 1, i + 1) == F.slice(high, 1, i + 1))
+    return F.try_element_at(same, F.lit(-1))
 
 
 def checks(df: DataFrame, rules: dict[str, tuple[str, Column]], example: Column) -> DataFrame:
