@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 #: Rows of a key table up to which it is broadcast; above, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 #: Words whose hash a worker keeps; the memory is emptied when it is full.
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
+
+#: Rows of a batch that are turned into Python objects at once.
+SLICE = 1000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,6 +51,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` for what runs inside: rows that carry whole texts or sets need little memory so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sized(keys: DataFrame) -> DataFrame:
     """``keys`` with a broadcast hint if its counted rows stay under BROADCAST_ROWS."""
     return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
@@ -100,8 +116,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     def run(batches):
         one = make()
         for batch in batches:
-            if batch.num_rows:
-                got = one(batch)
+            for k in range(0, batch.num_rows, SLICE):
+                got = one(batch.slice(k, SLICE))
                 if isinstance(got, pa.RecordBatch):
                     yield got
                 elif got is not None:
