@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WordHashes, as_bytes, map_arrow, rolling, split_words
+from strandlake.llm.common import as_bytes, map_arrow, rolling, split_words
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
@@ -48,11 +48,12 @@ def band(n_bytes: int) -> tuple[float, float]:
     return next((low, high) for most, low, high in BANDS if n_bytes <= most)
 
 
-def measure(text: bytes | None, hashes: WordHashes, packer: zstandard.ZstdCompressor) -> tuple:
+def measure(text: bytes | None, packer: zstandard.ZstdCompressor) -> tuple:
     words = split_words(text)
     text = text or b""
     n = len(words)
-    repeated = repeat_words(hashes.of(words))
+    # words are compared within a text only, so the hash of this process does
+    repeated = repeat_words(np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64))
     failed = n < 20 or 100 * repeated > 30 * n
     ratio, full, bad, good = None, 0, 0, False
     if text:
@@ -68,8 +69,8 @@ def measure(text: bytes | None, hashes: WordHashes, packer: zstandard.ZstdCompre
 
 
 def _measurer():
-    hashes, packer = WordHashes(), zstandard.ZstdCompressor(level=LEVEL)
-    return lambda column: [measure(t, hashes, packer) for t in as_bytes(column)]
+    packer = zstandard.ZstdCompressor(level=LEVEL)
+    return lambda column: [measure(t, packer) for t in as_bytes(column)]
 
 
 _TYPES = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64()), ("n_chunks", pa.int64()), ("n_bad_chunks", pa.int64()))
