@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WordHashes, as_bytes, components, map_arrow, rolling, sized, split_words, stored
+from strandlake.llm.common import WordHashes, as_bytes, components, map_arrow, rolling, sized, small_batches, split_words, stored
 
 WIDTH = 5
 #: Two sets link when NUM / DEN <= intersection / union.
@@ -65,7 +65,7 @@ def heavy_shingles(rows: DataFrame, width: int, limit: int) -> np.ndarray:
             yield from flush()
 
     found = rows.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(limit)
-    return np.array([r["h"] for r in found.collect()], dtype=np.int64).view(np.uint64)[::-1]
+    return found.select("h").toArrow().column("h").to_numpy().view(np.uint64)[::-1]
 
 
 def signatures(rows: DataFrame, heavy: np.ndarray, width: int, num: int, den: int) -> DataFrame:
@@ -256,7 +256,8 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return one
 
     members = map_arrow(rows.join(sized(clusters), F.col("id") == F.col("node")).select("component", "id", "text"), make, "cluster bigint, id bigint, n bigint, s binary").where("n > 0")
-    joined = components(cluster_links(members, num, den))
+    with small_batches(docs.sparkSession):
+        joined = components(cluster_links(members, num, den))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     return sigs.select("id", "n", "set_hash").join(named, "set_hash", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
