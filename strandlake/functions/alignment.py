@@ -17,8 +17,8 @@ def cigar_ops(cigar: Column) -> Column:
 
 def cigar_length(cigar: Column, ops: str) -> Column:
     """Sum of the lengths of ``ops``."""
-    kept = F.filter(cigar_ops(cigar), lambda x: F.lit(ops).contains(x["op"]))
-    return F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x["len"])
+    found = F.regexp_extract_all(cigar, F.lit(f"(\\d+)[{ops}]"), 1)
+    return F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
 def query_length(cigar: Column) -> Column:
