@@ -112,10 +112,10 @@ def consensus(frequencies: DataFrame, least: float = 0.25) -> Column:
 def analysis_of_variance(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """keys, f, df_between, df_within of a one-way analysis, from sums per group."""
     sums = df.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
-    total = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.count("*").alias("k"))
+    total = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.count("*").alias("__k"))
     between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
     within = F.col("ss") - F.col("b")
-    a, b = F.col("k") - 1, F.col("n") - F.col("k")
+    a, b = F.col("__k") - 1, F.col("n") - F.col("__k")
     return total.select(*keys, ((between / a) / F.nullif(within / b, F.lit(0.0))).alias("f"), a.alias("df_between"), b.alias("df_within"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.tracks import dense_positions
@@ -25,6 +25,9 @@ def every(df: DataFrame, stride: int, shift: int, key: str, order: list[str], bl
     return dense_positions(df, key, order, block, "__n").where((F.col("__n") - 1) % stride == shift).drop("__n")
 
 
-def per_group(df: DataFrame, keys: list[str], n: int, key: str, seed: int) -> DataFrame:
-    """At most ``n`` rows of each group, by hash, with partial aggregation instead of a sort of whole groups."""
-    return df.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key)))), 1, n).alias("x")).select(*keys, F.explode("x").alias("x")).select(*keys, F.col(f"x.{key}").alias(key))
+def per_group(df: DataFrame, keys: list[str], n: int, key: str, seed: int, parts: int = 32) -> DataFrame:
+    """At most ``n`` rows of each group, by hash; first of each of ``parts`` shares of a group, so no group is sorted as a whole."""
+    h = F.xxhash64(key, F.lit(seed))
+    rows = df.withColumn("__h", h).withColumn("__p", F.pmod(F.col("__h"), F.lit(parts)))
+    first = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__p").orderBy("__h", key))).where(F.col("__k") <= n)
+    return first.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__h", key))).where(F.col("__k") <= n).drop("__h", "__p", "__k")

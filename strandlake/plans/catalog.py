@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import counts, coverage, records, sequences, spans
+from strandlake.plans import counts, coverage, models, records, sequences, spans
 from strandlake.plans.common import Query
 
-_MODULES = (coverage, spans, sequences, records, counts)
+_MODULES = (coverage, spans, sequences, records, counts, models)
 QUERIES: dict[str, Query] = {name: f for m in _MODULES for name, f in m.query.queries.items()}
 ORACLE_SQL: dict[str, str] = {name: text for m in _MODULES for name, text in m.query.sql.items()}
