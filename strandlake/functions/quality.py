@@ -82,3 +82,40 @@ def aicc(log_likelihood: Column, k: Column, n: Column) -> Column:
 def bic(log_likelihood: Column, k: Column, n: Column) -> Column:
     """With ln n - ln 2 pi as the penalty's factor."""
     return -2 * log_likelihood + k * (F.log(n) - math.log(2 * math.pi))
+
+
+def clamped_phred(p: Column, most: int = 93) -> Column:
+    """-10 log10 of a probability held within 1e-90 and 1, at most ``most``."""
+    return F.least(-10 * F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-90))), F.lit(float(most)))
+
+
+def clamped_solexa(p: Column) -> Column:
+    """-10 log10 of the odds, within -5 and 62; -5 from 1 on."""
+    return F.when(p >= 1, -5.0).otherwise(F.least(F.greatest(-10 * F.log10(F.greatest(p, F.lit(1e-90)) / (1 - p)), F.lit(-5.0)), F.lit(62.0)))
+
+
+def quality_string(scores: Column, offset: int = 33) -> Column:
+    """String of an array of scores."""
+    return F.array_join(F.transform(scores, lambda q: F.char(q + offset)), "")
+
+
+def required_coverage(missing: float = 0.01) -> float:
+    """Coverage that leaves the share ``missing`` of bases uncovered."""
+    return math.log(1 / missing)
+
+
+def mean_contig_length(coverage: Column, length: Column) -> Column:
+    return (F.exp(coverage) - 1) * length / coverage
+
+
+def mean_reads_per_contig(coverage: Column) -> Column:
+    return F.exp(coverage)
+
+
+def normal_density(x: Column, mu: float, sigma: float) -> Column:
+    return F.exp(-((x - mu) * (x - mu)) / (2 * sigma * sigma)) / (sigma * math.sqrt(2 * math.pi))
+
+
+def geometric_mean(a: Column, b: Column) -> Column:
+    """Root of the product; 0 if either is 0."""
+    return F.sqrt(a * b)

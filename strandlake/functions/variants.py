@@ -47,3 +47,31 @@ def kept(qual: Column, depth: Column, alternate: Column, forward: Column, revers
 def kind(ref: Column, alt: Column) -> Column:
     """snp, mnp, insertion or deletion, by lengths."""
     return F.when((F.length(ref) == 1) & (F.length(alt) == 1), "snp").when(F.length(ref) == F.length(alt), "mnp").when(F.length(ref) < F.length(alt), "insertion").otherwise("deletion")
+
+
+def frequencies(alternates: Column, depth: Column) -> Column:
+    """Share of each alternate of an array."""
+    return F.transform(alternates, lambda x: frequency(x, depth))
+
+
+def strand_balances(forward: Column, reverse: Column) -> Column:
+    """Balance of each alternate; [0.5] where there is none."""
+    return F.when(F.size(forward) > 0, F.zip_with(forward, reverse, strand_balance)).otherwise(F.array(F.lit(0.5)))
+
+
+def valid_dp4(dp4: Column, least_depth: float, least_strand: float, least_ratio: float, polymorphic: Column) -> Column:
+    """Depth, depth of both strands and share of the called allele in (ref+, ref-, alt+, alt-)."""
+    total = dp4[0] + dp4[1] + dp4[2] + dp4[3]
+    forward, reverse = F.when(polymorphic, dp4[2]).otherwise(dp4[0]), F.when(polymorphic, dp4[3]).otherwise(dp4[1])
+    return (total >= least_depth) & (forward >= least_strand) & (reverse >= least_strand) & ((forward + reverse) / F.nullif(total, F.lit(0)) >= least_ratio)
+
+
+def valid_af1(af1: Column, polymorphic: Column, least: float = 0.95) -> Column:
+    return F.when(polymorphic, af1 >= least).otherwise(af1 <= 1 - least)
+
+
+def effect_fields(effect: Column) -> Column:
+    """Struct of the parts of ``EFFECT(impact|class|codon|...|gene|...)``."""
+    inner = F.split(F.regexp_extract(effect, "\\((.*)\\)", 1), "\\|")
+    names = ["impact", "functional_class", "codon_change", "amino_acid_change", "amino_acid_length", "gene"]
+    return F.struct(F.regexp_extract(effect, "^([^(]*)", 1).alias("effect"), *(F.get(inner, F.lit(k)).alias(n) for k, n in enumerate(names)))

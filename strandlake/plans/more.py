@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators import intervals, peaks, tracks
+from strandlake.functions import quality, variants
+from strandlake.operators import intervals, peaks, quantify, sheets, sliding, tracks
 from strandlake.plans.common import Registry, r6, table
 from strandlake.plans.coverage import _TRACK, track
+from strandlake.plans.counts import _MATRIX, matrix
+from strandlake.plans.sequences import _DNA, dna
 from strandlake.plans.spans import _ORDERS, orders
 
 query = Registry()
@@ -109,3 +112,53 @@ def contained_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = rows.groupBy("chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     met = intervals.overlaps(whole, rows, ["chrom"], 4096).where("start_r >= start_l AND end_r <= end_l")
     return met.groupBy("chrom").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_DNA}, b AS (SELECT doc_id, i AS pos, substr(s, i, 1) AS c FROM (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM dna)), w AS (SELECT doc_id, count(*) FILTER (c IN ('G', 'C')) OVER x / count(*) OVER x AS gc FROM b WINDOW x AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)) SELECT doc_id, round(max(gc), 6) AS most, round(min(gc), 6) AS least, round(avg(gc), 6) AS mean FROM w GROUP BY doc_id""")
+def gc_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sliding.base_windows(dna(spark, sf_dir), "doc_id", "s", 25)
+    return rows.groupBy("doc_id").agg(r6(F.max("gc")).alias("most"), r6(F.min("gc")).alias("least"), r6(F.avg("gc")).alias("mean"))
+
+
+@query(f"WITH {_DNA} SELECT doc_id, round(len(regexp_extract_all(s, 'ACGT')) * 4 / length(s), 6) AS forward, round(len(regexp_extract_all(s, 'ACGT')) * 4 / length(s), 6) AS reverse, len(regexp_extract_all(s, 'ACGT')) * 4 / length(s) >= 0.02 AS telomeric FROM dna WHERE length(s) > 0")
+def telomeric_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding.telomeric(dna(spark, sf_dir).where("length(s) > 0"), "doc_id", "s", "ACGT", 0.02).select("doc_id", r6("forward").alias("forward"), r6("reverse").alias("reverse"), "telomeric")
+
+
+@query("SELECT p_brand AS gene, sum(l_quantity) AS reads, round(sum(l_extendedprice * p_size) / nullif(sum(l_extendedprice), 0), 6) AS length FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def gene_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    rows = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey").select(F.col("l_partkey").alias("transcript"), F.col("l_quantity").alias("reads"), F.col("l_extendedprice").alias("tpm"), F.col("p_size").alias("effective_length"))
+    found = quantify.genes_from_transcripts(rows, part.select(F.col("p_partkey").alias("transcript"), F.col("p_brand").alias("gene")))
+    return found.select("gene", "reads", r6("length").alias("length"))
+
+
+@query(f"WITH {_MATRIX}, g AS (SELECT gene, avg(ln(n)) AS m FROM m WHERE n > 0 GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT sample) FROM m)) SELECT sample, round(exp(quantile_cont(ln(n) - g.m, 0.5)), 6) AS factor FROM m JOIN g USING (gene) WHERE n > 0 GROUP BY sample")
+def median_of_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantify.size_factors(matrix(spark, sf_dir)).select("sample", r6("factor").alias("factor"))
+
+
+@query("SELECT p_type AS status, count(DISTINCT p_partkey) AS n, round(100.0 * count(DISTINCT p_partkey) / (SELECT count(*) FROM part), 6) AS percentage FROM part GROUP BY 1")
+def assembly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ID"), F.col("p_type").alias("Status"))
+    return quantify.assembly_summary(rows).select("status", "n", r6("percentage").alias("percentage"))
+
+
+@query("""WITH d AS (SELECT c_name AS label, c_mktsegment AS condition FROM customer), s AS (SELECT condition, count(*) AS n FROM d GROUP BY 1), r AS (
+ SELECT 'unique labels' AS "check", count(*) AS n_bad, min(label) AS example FROM (SELECT label FROM d GROUP BY 1 HAVING count(*) > 1) UNION ALL
+ SELECT 'two conditions', count(*), min(x) FROM (SELECT count(*) AS n, min(condition) AS x FROM s) WHERE n < 2 UNION ALL
+ SELECT 'two samples a condition', count(*), min(condition) FROM s WHERE n < 2) SELECT "check", CASE WHEN n_bad > 0 THEN 'Error' ELSE 'Success' END AS status, n_bad, example FROM r""")
+def design_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets.design(table(spark, sf_dir, "customer").select(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("condition")))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(least(-10 * log10(greatest(least(l_discount, 1.0), 1e-90)), 93.0), 6) AS sanger, round(CASE WHEN l_discount >= 1 THEN -5 ELSE least(greatest(-10 * log10(greatest(l_discount, 1e-90) / (1 - l_discount)), -5.0), 62.0) END, 6) AS solexa, round(exp(-pow(l_tax - 0.04, 2) / (2 * 0.0004)) / (0.02 * sqrt(2 * pi())), 6) AS density FROM lineitem")
+def quality_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_discount")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(quality.clamped_phred(p)).alias("sanger"), r6(quality.clamped_solexa(p)).alias("solexa"), r6(quality.normal_density(F.col("l_tax"), 0.04, 0.02)).alias("density"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity + l_linenumber + l_suppkey % 9 + l_partkey % 7 >= 20 AND l_suppkey % 9 >= 2 AND l_partkey % 7 >= 2 AND (l_suppkey % 9 + l_partkey % 7) / nullif(l_quantity + l_linenumber + l_suppkey % 9 + l_partkey % 7, 0) >= 0.3 AS valid FROM lineitem")
+def dp4_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dp4 = F.array(F.col("l_quantity"), F.col("l_linenumber").cast("double"), (F.col("l_suppkey") % 9).cast("double"), (F.col("l_partkey") % 7).cast("double"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", variants.valid_dp4(dp4, 20, 2, 0.3, F.lit(True)).alias("valid"))
