@@ -42,13 +42,47 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Paths of the tables stored inside each open ``scratch``.
+_SCRATCH: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost no recomputation. The table goes when the driver ends."""
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost no recomputation. The table goes with its ``scratch``, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
+    return _named(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _named(df: DataFrame, path: str) -> DataFrame:
+    df._stored_at = path
+    return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are removed at the end, but for those given to the function that this yields: what is built from these alone may leave."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stored_at)
+        return df
+
+    _SCRATCH.append([])
+    try:
+        yield keep
+    finally:
+        for path in _SCRATCH.pop():
+            if path not in kept:
+                _remove(spark, path)
+            elif _SCRATCH:
+                _SCRATCH[-1].append(path)
+            else:
+                atexit.register(_remove, spark, path)
 
 
 @contextmanager
@@ -134,17 +168,20 @@ def components(edges: DataFrame) -> DataFrame:
     adaptive execution can split; no neighbour list is collected. Loops and null
     ends are ignored; nodes without an edge are absent.
     """
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        now = stored(small, "edges")
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
-        if got == mark:
-            break
-        mark = got
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch(edges.sparkSession) as keep:
+        now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+        mark = None
+        while True:
+            both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+            now = stored(small, "edges")
+            got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
+            if got == mark:
+                break
+            mark = got
+        keep(now)
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _named(found, now._stored_at)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import sized, stored
+from strandlake.llm.common import scratch, sized, stored
 
 #: Words of a token; lines match when NUM / DEN <= intersection / union of their tokens.
 WIDTH, NUM, DEN = 5, 75, 100
-#: Lines of one list up to which it counts as rare.
-RARE = 32
+#: Lines of one list up to which it counts as rare; tokens of a set from which two, not one, must be met in the prefixes, which are longer by one for it.
+RARE, TWO_FROM = 50, 8
 
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
@@ -31,17 +31,17 @@ def least_common(n: Column, num: int = NUM, den: int = DEN) -> Column:
     return F.ceil(n * num / den)
 
 
-def can_match(n: Column, m: Column, i: Column, j: Column, num: int = NUM, den: int = DEN) -> Column:
-    """Length and positional filter of two sets whose items i and j (from 0), in the common order, are their first equal ones."""
-    most = F.least(n - i, m - j)
+def can_match(n: Column, m: Column, i: Column, j: Column, before: int, num: int = NUM, den: int = DEN) -> Column:
+    """Length and positional filter of two sets whose items i and j (from 0), in the common order, are equal, after at most ``before`` other equal ones."""
+    most = F.least(n - i, m - j) + before
     return (num * F.greatest(n, m) <= den * F.least(n, m)) & (den * most >= num * (n + m - most))
 
 
 def prefix_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes with an equal item in their prefixes that pass the filters; postings: h, i, p, n."""
+    """(a, b), a < b, of nodes with an equal item in their prefixes that pass the filters, once an item; postings: h, i, p, n."""
     x, y = postings.select("h", *(F.col(c).alias(f"{c}1") for c in ("i", "p", "n"))), postings.select("h", *(F.col(c).alias(f"{c}2") for c in ("i", "p", "n")))
-    met = x.join(y, (x.h == y.h) & (F.col("p1") < F.col("p2")) & can_match(F.col("n1"), F.col("n2"), F.col("i1"), F.col("i2"), num, den))
-    return met.select(F.col("p1").alias("a"), F.col("p2").alias("b")).distinct()
+    met = x.join(y, (x.h == y.h) & (F.col("p1") < F.col("p2")) & can_match(F.col("n1"), F.col("n2"), F.col("i1"), F.col("i2"), 1, num, den))
+    return met.select(F.col("p1").alias("a"), F.col("p2").alias("b"))
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -57,51 +57,78 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Equal sets fall together by hash. Of the others, tokens are ordered by rarity:
     a first pass over prefixes in hash order finds every list of few lines, which
-    are rare by that measure. Lines of longer lists meet in a second join, whose
-    order is their tokens' exact number of lines. Both take the prefix that a
-    match can't avoid, then length and positional filters, then verify.
+    are rare by that measure. A line of a longer list is held against the list's
+    first line; if that and its other candidates fail, its rarest tokens, by their
+    exact number of lines, are looked up among the rarest of all lines of such
+    lists. Both passes take the prefix that a match can't avoid, filter by length
+    and position, and verify.
     """
-    broken = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("no", "line"))
-    tokenized = broken.withColumn("s", tokens(F.col("line"), width)).withColumn("n", F.size("s"))
-    prefix = F.when(F.col("n") >= 3, F.slice("s", 1, (F.col("n") - least_common(F.col("n"), num, den) + 1).cast("int")))  # smaller sets match equal ones only
-    lines = stored(tokenized.select("id", "no", "n", F.when(F.col("n") > 0, F.xxhash64("s")).alias("p"), F.when(F.col("n") > 0, F.xxhash64("s", F.lit(1))).alias("q"), prefix.alias("prefix")), "lines")
-    at = F.struct("id", "no")
-    nodes = lines.where("p is not null").groupBy("p", "q").agg(F.min(at).alias("first"))
-    posted = lines.where("prefix is not null").select("p", "n", F.posexplode("prefix").alias("i", "h"))
-    several = posted.groupBy("h").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a != b").select("h")
-    shared = stored(posted.join(sized(stored(several, "tokens")), "h").dropDuplicates(["h", "p"]), "postings")
-    sizes = shared.groupBy("h").agg(F.count("*").alias("g"))
-    rare = shared.join(sizes.where(F.col("g") <= RARE).select("h"), "h", "left_semi")
-    common = shared.join(sizes.where(F.col("g") > RARE).select("h"), "h", "left_semi").select("p").distinct()
-    pairs = stored(prefix_pairs(rare, num, den), "pairs")
-
-    many = stored(common.withColumn("many", F.lit(True)), "common")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("p")).union(many.select("p")).distinct()
-    places = stored(nodes.join(wanted, "p", "left_semi").select("first.id", "first.no", "p"), "places").dropDuplicates(["p"])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(places.groupBy("id").agg(F.collect_list(F.struct("no", "p")).alias("nos"))), "id")
-    sets = texts.select(F.explode("nos").alias("x"), F.split("text", "\n").alias("parts")).select(F.col("x.p").alias("p"), tokens(F.get("parts", F.col("x.no")), width).alias("s")).withColumn("n", F.size("s"))
-    sets = stored(sets.dropDuplicates(["p"]), "sets")
-
-    chosen = sets.join(many, "p", "left_semi").select("p", "n", F.explode("s").alias("h"))
-    ranked = chosen.join(chosen.groupBy("h").agg(F.count("*").alias("c")), "h").groupBy("p", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o"))
-    ordered = ranked.select("p", "n", F.posexplode(F.slice("o", 1, (F.col("n") - least_common(F.col("n"), num, den) + 1).cast("int"))).alias("i", "x")).where("x.c > 1").select(F.col("x.h").alias("h"), "i", "p", "n")
-    candidates = pairs.union(prefix_pairs(ordered, num, den)).distinct()
-    one, two = sets.select(F.col("p").alias("a"), F.col("s").alias("s1")), sets.select(F.col("p").alias("b"), F.col("s").alias("s2"))
-    overlap = F.size(F.array_intersect("s1", "s2"))
-    matches = candidates.join(one, "a").join(two, "b").where(den * overlap >= num * (F.size("s1") + F.size("s2") - overlap)).select("a", "b")
-    matches = stored(matches, "matches")
-
-    both = matches.union(matches.select("b", "a")).toDF("p", "o")
-    firsts = nodes.select(F.col("p").alias("o"), F.col("first").alias("other"))
-    earlier = both.join(firsts, "o").groupBy("p").agg(F.min("other").alias("other"))
-    limits = nodes.join(earlier, "p", "left").select("p", "q", F.least("first", F.coalesce("other", "first")).alias("limit"))
-    judged = lines.select("id", "no", "p", "q").join(limits, ["p", "q"], "left").withColumn("gone", F.coalesce(at > F.col("limit"), F.lit(False)))
+    with scratch(docs.sparkSession) as keep:
+        broken = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("no", "line"))
+        tokenized = broken.withColumn("s", tokens(F.col("line"), width)).withColumn("n", F.size("s"))
+        n = F.col("n")
+        few = n < TWO_FROM
+        prefix = F.when(n >= 3, F.slice("s", 1, (n - least_common(n, num, den) + F.when(few, 1).otherwise(2)).cast("int")))  # smaller sets match equal ones only
+        node = F.xxhash64("s").bitwiseAND(~1).bitwiseOR(few.cast("bigint"))  # odd: a set of few
+        lines = stored(tokenized.select("id", "no", "n", F.when(n > 0, node).alias("p"), F.when(n > 0, F.xxhash64("s", F.lit(1))).alias("q"), prefix.alias("prefix")), "lines")
+        at = F.struct("id", "no")
+        nodes = lines.where("p is not null").groupBy("p", "q").agg(F.min(at).alias("first"))
+        posted = lines.where("prefix is not null").select("p", "n", F.posexplode("prefix").alias("i", "h"))
+        lists = stored(posted.groupBy("h").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("c")).where("a != b"), "lists")
+        shared = stored(posted.join(sized(lists.where("c > 2").select("h")), "h").dropDuplicates(["h", "p"]), "postings")
+        sizes = shared.groupBy("h").agg(F.count("*").alias("g"))
+        rare = shared.join(sizes.where(F.col("g") <= RARE).select("h"), "h", "left_semi")
+        many = stored(shared.join(sizes.where(F.col("g") > RARE).select("h"), "h", "left_semi").select("p").distinct(), "common")
+        needed = F.when((F.col("a") % 2 != 0) | (F.col("b") % 2 != 0), 1).otherwise(2)
+        pairs = stored(lists.where("c = 2").select("a", "b").union(prefix_pairs(rare, num, den)).groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= needed).select("a", "b"), "pairs")
+
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("p")).union(many).distinct()
+        firsts = stored(nodes.join(sized(wanted), "p", "left_semi").groupBy("p").agg(F.min("first").alias("first")), "firsts")
+        places = firsts.groupBy("first.id").agg(F.collect_list(F.struct("first.no", "p")).alias("nos"))
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(places), "id")
+        parts = F.get(F.transform(F.array(F.split("text", "\n")), lambda part: F.transform("nos", lambda x: F.struct(x["p"].alias("p"), F.struct(F.col("id"), x["no"].alias("no")).alias("first"), F.get(part, x["no"]).alias("line")))), F.lit(0))
+        sets = stored(texts.select(F.explode(parts).alias("x")).select("x.p", "x.first", tokens(F.col("x.line"), width).alias("s")).withColumn("n", F.size("s")), "sets")
+        by_node = sets.select("p", "s").repartition("p").persist()  # joined several times
+
+        def verified(c: DataFrame) -> DataFrame:
+            """Later nodes of pairs that match."""
+            one, two = by_node.select(F.col("p").alias("later"), F.col("s").alias("s1")), by_node.select(F.col("p").alias("earlier"), F.col("s").alias("s2"))
+            overlap = F.size(F.array_intersect("s1", "s2"))
+            return c.join(one, "later").join(two, "earlier").where(den * overlap >= num * (F.size("s1") + F.size("s2") - overlap)).select("later").distinct()
+
+        # what decides is whether a node has one earlier match, so each is held against its earliest candidate before the others
+        x, y = firsts.select(F.col("p").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("p").alias("b"), F.col("first").alias("fb"))
+        turned = F.col("fa") < F.col("fb")
+        met = pairs.join(x, "a").join(y, "b").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.least("fa", "fb").alias("first"))
+        hot = shared.join(sizes.where(F.col("g") > RARE).select("h"), "h", "left_semi").select("h", "p").join(firsts, "p")
+        heads = hot.groupBy("h").agg(F.min(F.struct("first", "p")).alias("head"))
+        stars = hot.join(heads, "h").where(F.col("p") != F.col("head.p")).select(F.col("p").alias("later"), F.col("head.p").alias("earlier"), F.col("head.first").alias("first"))
+        candidates = stored(met.union(stars).distinct(), "candidates")
+        matched = stored(verified(candidates.groupBy("later").agg(F.min_by("earlier", "first").alias("earlier"))), "matched")
+        matched = stored(matched.union(verified(candidates.join(sized(matched), "later", "left_anti").select("later", "earlier"))), "matched")
+
+        # nodes of long lists: tokens in order of rarity among them; those without a match so far look the first of theirs up among the first of all
+        listed = sets.join(sized(many), "p", "left_semi").select("p", "n", "first", F.explode("s").alias("h"))
+        counts = stored(listed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+        unseen = n - F.size("o")  # tokens that no other such node has come first
+        first_ones = F.slice("o", 1, F.greatest(n - least_common(n, num, den) + 1 - unseen, F.lit(0)).cast("int"))
+        ranked = listed.join(sized(counts), "h").groupBy("p", "n", "first").agg(F.array_sort(F.collect_set(F.struct("c", "h"))).alias("o"))
+        ordered = stored(ranked.select("p", "n", "first", unseen.alias("unseen"), F.posexplode(first_ones).alias("k", "x")).select(F.col("x.h").alias("h"), (F.col("unseen") + F.col("k")).alias("i"), "p", "n", "first"), "ordered")
+        asked = ordered.join(sized(matched.select(F.col("later").alias("p"))), "p", "left_anti").select("h", F.col("i").alias("j"), F.col("p").alias("later"), F.col("n").alias("m"), F.col("first").alias("limit"))
+        late = asked.join(ordered, "h").where((F.col("first") < F.col("limit")) & can_match(n, F.col("m"), F.col("i"), F.col("j"), 0, num, den)).select("later", F.col("p").alias("earlier")).distinct()
+        matched = stored(matched.union(verified(late.join(candidates, ["later", "earlier"], "left_anti"))), "matched")
+        by_node.unpersist()
+        keep(lines), keep(matched)
+
+    limits = nodes.join(matched.select(F.col("later").alias("p"), F.lit(True).alias("matched")).distinct(), "p", "left").select("p", "q", F.when(F.col("matched"), F.lit(None)).otherwise(F.col("first")).alias("kept_at"))
+    judged = lines.select("id", "no", "p", "q").join(limits, ["p", "q"], "left").withColumn("gone", F.col("p").isNotNull() & ~at.eqNullSafe(F.col("kept_at")))
     return judged.groupBy("id").agg(F.count("no").alias("n_lines"), F.count_if("gone").alias("n_removed"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("no")))).alias("removed")).withColumnRenamed("id", "doc_id")
 
 
 def without_later_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the matching later lines taken out of their texts; all rows and columns stay. A text without a kept line is empty, null stays null."""
-    gone = stored(removed_lines(docs, id_col=id_col, text_col=text_col).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone")), "removed")
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(stored(removed_lines(docs, id_col=id_col, text_col=text_col).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone")), "removed"))
     joined = docs.join(sized(gone), docs[id_col] == F.col("__id"), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, k: ~F.array_contains("__gone", k)), "\n")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)

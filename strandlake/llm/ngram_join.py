@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WordHashes, as_bytes, components, map_arrow, rolling, sized, small_batches, split_words, stored
+from strandlake.llm.common import WordHashes, as_bytes, components, map_arrow, rolling, scratch, sized, small_batches, split_words, stored
 
 WIDTH = 5
 #: Two sets link when NUM / DEN <= intersection / union.
@@ -228,41 +228,44 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lost: rows with equal sets form a class, and the classes' prefixes share a
     known number of items if they link.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sigs = stored(signatures(rows, heavy_shingles(rows, width, HEAVY), width, num, den), "signatures")
-    classes = sigs.where("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("rep"))
-    reps = sigs.join(sized(classes.where("rep is not null").select("set_hash", F.col("rep").alias("id"))), ["set_hash", "id"], "left_semi")
-
-    def pairs(batches):
-        held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if held:
-            got = counted_pairs(*(pa.concat_tables(held).column(k).to_numpy() for k in ("h", "id", "n")), LIST, num, den)
-            for k in range(0, len(got[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in got], names=["u", "v", "nu", "nv", "common"])
-
-    met = stored(reps.select(F.explode("light").alias("h"), "id", "n").repartition("h").mapInArrow(pairs, "u bigint, v bigint, nu bigint, nv bigint, common bigint").groupBy("u", "v").agg(F.min("common").alias("least"), F.sum("common").alias("common"), F.least(F.first("nu"), F.first("nv")).alias("n")), "pairs")
-    enough = F.least(1 + F.floor(F.col("n") / 20), F.ceil(F.col("n") * num / den))
-    often = reps.select(F.explode("heavy").alias("h"), "id")
-    stars = often.join(often.groupBy("h").agg(F.min("id").alias("u")), "h").where("id > u").select("u", F.col("id").alias("v"))
-    clusters = stored(components(met.where((F.col("least") < 0) | (F.col("common") >= enough)).select("u", "v").union(stars)), "clusters")
-
-    def make():
-        hashes = WordHashes()
-
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, hashes, width) for t in as_bytes(batch.column("text"))]
-            return pa.RecordBatch.from_pydict({"cluster": batch.column("component"), "id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-        return one
-
-    members = map_arrow(rows.join(sized(clusters), F.col("id") == F.col("node")).select("component", "id", "text"), make, "cluster bigint, id bigint, n bigint, s binary").where("n > 0")
-    with small_batches(docs.sparkSession):
-        joined = components(cluster_links(members, num, den))
+    with scratch(docs.sparkSession) as keep:
+        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        sigs = stored(signatures(rows, heavy_shingles(rows, width, HEAVY), width, num, den), "signatures")
+        classes = sigs.where("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("rep"))
+        reps = sigs.join(sized(classes.where("rep is not null").select("set_hash", F.col("rep").alias("id"))), ["set_hash", "id"], "left_semi")
+
+        def pairs(batches):
+            held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+            if held:
+                got = counted_pairs(*(pa.concat_tables(held).column(k).to_numpy() for k in ("h", "id", "n")), LIST, num, den)
+                for k in range(0, len(got[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in got], names=["u", "v", "nu", "nv", "common"])
+
+        met = stored(reps.select(F.explode("light").alias("h"), "id", "n").repartition("h").mapInArrow(pairs, "u bigint, v bigint, nu bigint, nv bigint, common bigint").groupBy("u", "v").agg(F.min("common").alias("least"), F.sum("common").alias("common"), F.least(F.first("nu"), F.first("nv")).alias("n")), "pairs")
+        enough = F.least(1 + F.floor(F.col("n") / 20), F.ceil(F.col("n") * num / den))
+        often = reps.select(F.explode("heavy").alias("h"), "id")
+        stars = often.join(often.groupBy("h").agg(F.min("id").alias("u")), "h").where("id > u").select("u", F.col("id").alias("v"))
+        clusters = stored(components(met.where((F.col("least") < 0) | (F.col("common") >= enough)).select("u", "v").union(stars)), "clusters")
+
+        def make():
+            hashes = WordHashes()
+
+            def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+                sets = [shingle_set(t, hashes, width) for t in as_bytes(batch.column("text"))]
+                return pa.RecordBatch.from_pydict({"cluster": batch.column("component"), "id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+            return one
+
+        members = map_arrow(rows.join(sized(clusters), F.col("id") == F.col("node")).select("component", "id", "text"), make, "cluster bigint, id bigint, n bigint, s binary").where("n > 0")
+        with small_batches(docs.sparkSession):
+            joined = components(cluster_links(members, num, den))
+        keep(sigs), keep(joined)
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     return sigs.select("id", "n", "set_hash").join(named, "set_hash", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the document of the smallest id of each component; rows that repeat an id stay or go together."""
-    gone = ngram_components(docs, id_col=id_col, text_col=text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(stored(ngram_components(docs, id_col=id_col, text_col=text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone"))
     return docs.join(sized(gone), id_col, "left_anti").select(docs.columns)
