@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, inf, lgamma, log
+from math import exp, inf, lgamma
 
 import pandas as pd
 from pyspark.sql import DataFrame
