@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, html_text, language, lines, ngram_join, pack, passages, quality, tokens
 
@@ -30,7 +31,8 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removed_lines(table(spark, sf_dir, "documents"))
+    found = lines.removed_lines(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +94,15 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least_id ON u = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_ngram_join": _OP9, "op10_decontamination": _OP10}
+_OP5 = r"""
+WITH broken AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, no, list_filter(string_split_regex(parts[no + 1], '[ \t\x0B\f\r]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS no FROM broken)),
+tokens AS (SELECT DISTINCT doc_id, no, array_to_string(w[k : k + 4], ' ') AS t FROM (SELECT doc_id, no, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM lines WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, no, count(*) AS n FROM tokens GROUP BY ALL),
+pairs AS (SELECT a.doc_id AS d1, a.no AS n1, b.doc_id AS d2, b.no AS n2, count(*) AS c FROM tokens a JOIN tokens b USING (t) WHERE a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.no < b.no GROUP BY ALL),
+gone AS (SELECT DISTINCT d2 AS doc_id, n2 AS no FROM pairs JOIN sizes x ON x.doc_id = d1 AND x.no = n1 JOIN sizes y ON y.doc_id = d2 AND y.no = n2 WHERE 100 * c >= 75 * (x.n + y.n - c)),
+listed AS (SELECT doc_id, count(*) AS n_removed, string_agg(no::VARCHAR, ',' ORDER BY no) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed FROM broken LEFT JOIN listed USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op9_ngram_join": _OP9, "op10_decontamination": _OP10}
