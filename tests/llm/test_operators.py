@@ -316,3 +316,31 @@ def test_empty_and_clashing(spark):
     assert ngram_join.ngram_components(odd).count() == 3 and lines.without_later_matches(odd).columns == odd.columns
     assert ngram_join.one_of_each(odd).count() == 3
     assert pack.packed_documents(odd, path).count() == 3 and passages.repeated_passages(odd).count() == 0
+
+
+def found_by_functions(a, b, functions):
+    """Whether texts a and b meet by the min-hashes alone, without words beside a token."""
+    least, met = passages.WORDS - passages.WIDTH + 1, []
+    both = [common.rolling(common.WordHashes().of([w.encode() for w in t]), passages.WIDTH) for t in (a, b)]
+    for f in range(functions):
+        places = []
+        for t in both:
+            out = ([], [], [])
+            passages.compact_windows(passages.ranks(t, passages._SEEDS[f]), 0, len(t), least, out)
+            places.append([(t[c], (c << 32) | ((c - l) << 16) | (r - c)) for l, c, r in zip(*out, strict=True)])
+        met += [(x, y, f) for h, x in places[0] for g, y in places[1] if h == g]
+    if not met:
+        return False
+    x, y, f = (np.array(c) for c in zip(*met, strict=True))
+    return len(passages.agreeing(x, y, f, np.zeros(len(f), dtype=bool), passages.AGREE)) > 0
+
+
+def test_recall_of_near_passages():
+    found, n = {0: 0, 50: 0}, 2000
+    for k in range(n):
+        for around in found:
+            one, two = prose(10_000 + k, 50 + 2 * around, 10**6), prose(20_000 + k, 50 + 2 * around, 10**6)
+            two[around : around + 50] = one[around : around + 50]
+            two[around + 25], two[around + 49] = "x", "y"  # 6 of 46 tokens: similarity 40 / 52, the least that 0.75 admits
+            found[around] += found_by_functions(one, two, passages.FUNCTIONS)
+    assert found[0] / n >= 0.98 and found[50] / n >= 0.995  # measured: 0.9895 where the passage is the whole text, 0.999 inside longer texts; with 4 functions 0.957 and 0.9975
