@@ -344,3 +344,15 @@ def test_recall_of_near_passages():
             two[around + 25], two[around + 49] = "x", "y"  # 6 of 46 tokens: similarity 40 / 52, the least that 0.75 admits
             found[around] += found_by_functions(one, two, passages.FUNCTIONS)
     assert found[0] / n >= 0.98 and found[50] / n >= 0.995  # measured: 0.9895 where the passage is the whole text, 0.999 inside longer texts; with 4 functions 0.957 and 0.9975
+
+
+def test_sides_of_a_long_list():
+    n, reach = 20_000, passages.REACH
+    tokens = common.mixed(np.arange(n * (2 * reach + 1), dtype=np.uint64))
+    start = np.arange(n) * (2 * reach + 1)
+    tokens = np.concatenate((tokens, tokens[-50 * (2 * reach + 1) :]))  # the last 50 surroundings come twice
+    start = np.concatenate((start, n * (2 * reach + 1) + np.arange(50) * (2 * reach + 1)))
+    side = passages.sides(tokens, start + reach, start, start + 2 * reach + 1)
+    ids = np.arange(n + 50)
+    u, v, *_, sure = passages.listed_pairs(np.zeros(n + 50, dtype=np.int64), ids, np.full(n + 50, reach << 32), side, passages.LIST)
+    assert set(zip(u[sure].tolist(), v[sure].tolist(), strict=True)) == {(n - 50 + k, n + k) for k in range(50)}
