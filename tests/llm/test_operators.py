@@ -356,3 +356,15 @@ def test_sides_of_a_long_list():
     ids = np.arange(n + 50)
     u, v, *_, sure = passages.listed_pairs(np.zeros(n + 50, dtype=np.int64), ids, np.full(n + 50, reach << 32), side, passages.LIST)
     assert set(zip(u[sure].tolist(), v[sure].tolist(), strict=True)) == {(n - 50 + k, n + k) for k in range(50)}
+
+
+def test_passages_around_a_frequent_phrase(spark):
+    texts, want = [], set()
+    for k in range(40):
+        passage = prose(3000 + k, 50, 10**6)
+        for j in range(22):
+            own = prose(40_000 + 22 * k + j, 60, 10**6)
+            texts.append(" ".join(own[:30] + (passage if j >= 20 else passage[4:47]) + own[30:]))
+        want.add((len(texts) - 1, len(texts) - 2))
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(documents(spark, texts)).collect() if r.similarity == 1}
+    assert got == want
