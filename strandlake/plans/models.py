@@ -28,7 +28,7 @@ def mixture_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT chrom, s::INTEGER AS shift, round((sum(x * y) / 300.0 - first(p1) / 300.0 * first(m1) / 300.0) / nullif(sqrt((first(p2) / 300.0 - pow(first(p1) / 300.0, 2)) * (first(m2) / 300.0 - pow(first(m1) / 300.0, 2))), 0), 6) AS correlation FROM v JOIN k USING (chrom) WHERE p1 IS NOT NULL AND m1 IS NOT NULL GROUP BY chrom, s""")
 def strand_cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chrom"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), F.col("l_partkey").alias("pos"))
-    lengths = tags.select("chrom").distinct().withColumn("bins", F.lit(300))
+    lengths = tags.groupBy("chrom").agg(F.greatest(F.lit(300), F.max(F.floor(F.col("pos") / 10)) + 1).alias("bins"))  # 300 as in the SQL, more where the contig is longer
     return models.cross_correlation(tags, "chrom", "pos", "strand", [0, 1, 2, 3], 10, lengths).select("chrom", "shift", r6("correlation").alias("correlation"))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.operators import models, samples, scans, taxa
+from strandlake.plans import catalog
 
 
 def test_mixture():
@@ -54,3 +55,15 @@ def test_ranks(spark):
     nodes = spark.createDataFrame([(1, 1, "no rank", "root"), (2, 1, "superkingdom", "Bacteria"), (3, 2, "phylum", "P"), (4, 3, "species", "S")], "taxon bigint, parent bigint, rank string, name string")
     r = taxa.ranked(nodes).where("taxon = 4").first()
     assert (r.kingdom, r.phylum, r["class"], r.species) == ("Bacteria", "P", " ", "S")
+
+
+def test_cross_correlation_of_a_long_contig(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [("A", "OF"[int(k)], int(p)) for k, p in zip(rng.integers(0, 2, 20_000), rng.integers(1, 20_000, 20_000), strict=True)]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    n = max(p for *_, p in rows) // 10 + 1
+    x, y = (np.bincount([p // 10 for _, s, p in rows if s == which], minlength=n) for which in "OF")
+    got = {r["shift"]: r.correlation for r in catalog.QUERIES["strand_cross_correlation"](spark, str(tmp_path)).collect()}
+    for s in range(4):
+        want = ((x[: n - s] * y[s:]).sum() / n - x.mean() * y.mean()) / (x.std() * y.std())
+        assert math.isclose(got[s], want, abs_tol=2e-6)
