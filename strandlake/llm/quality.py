@@ -60,7 +60,10 @@ def measure(text: bytes | None, packer: zstandard.ZstdCompressor) -> tuple:
         size = len(packer.compress(text))
         ratio = size / len(text)
         low, high = band(len(text))
-        for k in range(0, len(text) - CHUNK + 1, CHUNK):
+        starts = [*range(0, len(text) - CHUNK + 1, CHUNK)]
+        if starts and len(text) % CHUNK:  # what is left at the end, with bytes before it for a full chunk; a shorter text is judged whole
+            starts.append(len(text) - CHUNK)
+        for k in starts:
             full += 1
             part = len(packer.compress(text[k : k + CHUNK])) / CHUNK
             bad += not CHUNK_BAND[0] <= part <= CHUNK_BAND[1]

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,3 +369,11 @@ def test_passages_around_a_frequent_phrase(spark):
         want.add((len(texts) - 1, len(texts) - 2))
     got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(documents(spark, texts)).collect() if r.similarity == 1}
     assert got == want
+
+
+def test_quality_of_the_end():
+    packer = quality._measurer()
+    text = " ".join(prose(8, 2000, 10**6))[:4200]
+    junk = "".join(random.Random(9).choice("qwertzuiopasdfghjklyxcvbnm ") for _ in range(10)) * 350  # repeats itself: a chunk of it packs to almost nothing
+    (*_, kept, ratio, n, bad), (*_, short, _, n_short, _) = packer(pa.array([text + junk, text[:3000]]))
+    assert (n, bad, kept, n_short) == (2, 1, False, 0)
