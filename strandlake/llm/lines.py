@@ -85,9 +85,9 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("p")).union(many).distinct()
         firsts = stored(nodes.join(sized(wanted), "p", "left_semi").groupBy("p").agg(F.min("first").alias("first")), "firsts")
         places = firsts.groupBy("first.id").agg(F.collect_list(F.struct("first.no", "p")).alias("nos"))
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(places), "id")
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(places.withColumnRenamed("id", "of")), F.col("id").eqNullSafe(F.col("of")))
         parts = F.get(F.transform(F.array(F.split("text", "\n")), lambda part: F.transform("nos", lambda x: F.struct(x["p"].alias("p"), F.struct(F.col("id"), x["no"].alias("no")).alias("first"), F.get(part, x["no"]).alias("line")))), F.lit(0))
-        sets = stored(texts.select(F.explode(parts).alias("x")).select("x.p", "x.first", tokens(F.col("x.line"), width).alias("s")).withColumn("n", F.size("s")), "sets")
+        sets = stored(texts.select(F.explode(parts).alias("x")).select("x.p", "x.first", tokens(F.col("x.line"), width).alias("s")).withColumn("n", F.size("s")).where(F.col("p") == F.xxhash64("s").bitwiseAND(~1).bitwiseOR(few.cast("bigint"))), "sets")  # of rows with one id, or none, those that have the line
         by_node = sets.select("p", "s").repartition("p").persist()  # joined several times
 
         def verified(c: DataFrame) -> DataFrame:

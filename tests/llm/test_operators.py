@@ -118,6 +118,14 @@ def test_line_dedup(spark, monkeypatch, seed, rare):
         assert after[k] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[k][2]))
 
 
+def test_near_lines_of_rows_without_id(spark):
+    base = prose(55, 40)
+    near = [*base[:-1], "other"]
+    texts = ["\n".join((" ".join(base), "x y z")), "\n".join((" ".join(prose(56, 30)), "p q r")), "\n".join((" ".join(near), " ".join(prose(57, 30))))]
+    got = {r.doc_id: r.removed for r in lines.removed_lines(documents(spark, texts, [None, None, 7])).collect()}
+    assert got == {None: [], 7: [0]}
+
+
 def test_decontamination(spark):
     items = ["the quick brown fox jumps over the lazy dog and runs far away today", "Short One", "", None, "!!!"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
