@@ -104,10 +104,10 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def counted_pairs(h: np.ndarray, ids: np.ndarray, n: np.ndarray, most: int, num: int, den: int) -> tuple[np.ndarray, ...]:
     """From postings: (a, b, n of a, n of b, common) of pairs in lists of up to ``most`` documents; longer lists as stars with common -1."""
-    order = np.lexsort((ids, h))
+    order = np.lexsort((n, ids, h))
     h, ids, n = h[order], ids[order], n[order]
     fresh = np.ones(len(h), dtype=bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])  # a repeated row
+    fresh[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])  # a repeated row; an id with texts of several sizes has each
     h, ids, n = h[fresh], ids[fresh], n[fresh]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
     size = np.diff(np.append(first, len(h)))
@@ -123,10 +123,10 @@ def counted_pairs(h: np.ndarray, ids: np.ndarray, n: np.ndarray, most: int, num:
         step += 1
     left = np.concatenate(left) if left else np.empty(0, np.int64)
     right = np.concatenate(right) if right else np.empty(0, np.int64)
-    order = np.lexsort((ids[right], ids[left]))
+    order = np.lexsort((n[right], n[left], ids[right], ids[left]))
     left, right = left[order], right[order]
     new = np.ones(len(left), dtype=bool)
-    new[1:] = (ids[left[1:]] != ids[left[:-1]]) | (ids[right[1:]] != ids[right[:-1]])
+    new[1:] = np.any([x[side[1:]] != x[side[:-1]] for x in (ids, n) for side in (left, right)], axis=0)
     at = np.flatnonzero(new)
     common = np.diff(np.append(at, len(left)))
     a, b = left[at], right[at]
@@ -191,7 +191,7 @@ def cluster_links(members: DataFrame, num: int, den: int) -> DataFrame:
     near = F.flatten(F.transform(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1), lambda k: F.transform(F.when(F.col("m")[k].isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.col("m")[k] - 1)).otherwise(F.array().cast("array<bigint>")), lambda j: F.concat_ws(".", F.lpad(k.cast("string"), 4, "0"), F.lpad(j.cast("string"), 9, "0")))))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("total") <= BLOCK, F.array(F.lit(""))).otherwise(near)))
     dealt = dealt.select("cluster", F.when(F.col("other") == "", "").otherwise(F.least("own", "other")).alias("x"), F.when(F.col("other") == "", "").otherwise(F.greatest("own", "other")).alias("y"), (F.col("own") > F.col("other")).alias("right") & (F.col("other") != ""), "id", "s")
-    dealt = dealt.toDF("cluster", "x", "y", "right", "id", "s").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id")
+    dealt = dealt.toDF("cluster", "x", "y", "right", "id", "s").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id", "s")
 
     def run(batches):
         key, rows = None, []
@@ -208,7 +208,7 @@ def cluster_links(members: DataFrame, num: int, den: int) -> DataFrame:
                     if len(rows) > 1:
                         yield from product()
                     key, rows = (c, x, y), []
-                if not rows or rows[-1][0] != name:
+                if not rows or rows[-1][:2] != (name, s):
                     rows.append((name, s, right))
         if len(rows) > 1:
             yield from product()
@@ -241,7 +241,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 for k in range(0, len(got[0]), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in got], names=["u", "v", "nu", "nv", "common"])
 
-        met = stored(reps.select(F.explode("light").alias("h"), "id", "n").repartition("h").mapInArrow(pairs, "u bigint, v bigint, nu bigint, nv bigint, common bigint").groupBy("u", "v").agg(F.min("common").alias("least"), F.sum("common").alias("common"), F.least(F.first("nu"), F.first("nv")).alias("n")), "pairs")
+        met = stored(reps.select(F.explode("light").alias("h"), "id", "n").repartition("h").mapInArrow(pairs, "u bigint, v bigint, nu bigint, nv bigint, common bigint").groupBy("u", "v").agg(F.min("common").alias("least"), F.sum("common").alias("common"), F.min(F.least("nu", "nv")).alias("n")), "pairs")
         enough = F.least(1 + F.floor(F.col("n") / 20), F.ceil(F.col("n") * num / den))
         often = reps.select(F.explode("heavy").alias("h"), "id")
         stars = often.join(often.groupBy("h").agg(F.min("id").alias("u")), "h").where("id > u").select("u", F.col("id").alias("v"))

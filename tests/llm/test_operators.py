@@ -79,6 +79,14 @@ def test_ngram_join(spark, monkeypatch, seed, limits):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(closure(len(texts), links)))
 
 
+def test_ngram_join_of_a_repeated_id(spark):
+    one, two = prose(61, 60), prose(62, 90)
+    start = two[:8]  # shared, so that both texts of id 5 meet the same shingles
+    texts = [start + one, start + two, start + one[:-1] + ["x"], start + two[:-1] + ["y"]]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(documents(spark, [" ".join(t) for t in texts], [5, 5, 6, 7])).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5)}
+
+
 def matching_lines(texts):
     seen, out = [], []
     for t in texts:
