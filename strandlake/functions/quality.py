@@ -61,7 +61,10 @@ def anscombe(x: Column) -> Column:
 
 
 def inverse_anscombe(y: Column) -> Column:
-    return y * y / 4 - 3.0 / 8
+    """Closed form near the exact unbiased inverse; null for 0."""
+    y = F.nullif(y.cast("double"), F.lit(0.0))
+    half = math.sqrt(1.5)
+    return y * y / 4 + half / 4 / y - 11.0 / 8 / (y * y) + 5.0 / 8 * half / (y * y * y) - 1.0 / 8
 
 
 def generalized_anscombe(x: Column, mean: float, sigma: float, gain: float = 1.0) -> Column:

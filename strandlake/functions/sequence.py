@@ -49,9 +49,17 @@ def tm_wallace(seq: Column) -> Column:
     return 2 * count_of(seq, "AT") + 4 * count_of(seq, "GC")
 
 
-def tm_marmur(seq: Column) -> Column:
-    """Melting temperature of longer primers: 64.9 + 41 (G + C - 16.4) / n."""
-    return 64.9 + 41.0 * (count_of(seq, "GC") - 16.4) / F.nullif(F.length(seq), F.lit(0))
+def tm_salt_adjusted(seq: Column) -> Column:
+    """Melting temperature of primers of more than 14 letters: 69.3 + 41 (G + C) / n - 650 / n; null for an empty sequence."""
+    return 69.3 + (41.0 * count_of(seq, "GC") - 650.0) / F.nullif(F.length(seq), F.lit(0))
+
+
+def restriction_sites(seq: Column, enzymes: dict[str, str]) -> Column:
+    """Array of (enzyme, pos) of all recognition sites, overlaps included; letters are upper-cased, positions begin at 1."""
+    def found(enzyme: str, site: str) -> Column:
+        return F.transform(starts_of(F.upper(seq), site.upper()), lambda i: F.struct(F.lit(enzyme).alias("enzyme"), (i + 1).cast("bigint").alias("pos")))
+
+    return F.concat(*(found(enzyme, site) for enzyme, site in enzymes.items()))
 
 
 def translated(dna: Column, to_stop: bool = False) -> Column:

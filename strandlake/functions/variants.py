@@ -60,10 +60,14 @@ def strand_balances(forward: Column, reverse: Column) -> Column:
 
 
 def valid_dp4(dp4: Column, least_depth: float, least_strand: float, least_ratio: float, polymorphic: Column) -> Column:
-    """Depth, depth of both strands and share of the called allele in (ref+, ref-, alt+, alt-)."""
-    total = dp4[0] + dp4[1] + dp4[2] + dp4[3]
-    forward, reverse = F.when(polymorphic, dp4[2]).otherwise(dp4[0]), F.when(polymorphic, dp4[3]).otherwise(dp4[1])
-    return (total >= least_depth) & (forward >= least_strand) & (reverse >= least_strand) & ((forward + reverse) / F.nullif(total, F.lit(0)) >= least_ratio)
+    """Reads of the called allele (the alternate at a ``polymorphic`` site) in (ref+, ref-, alt+, alt-): in all, on each strand, and their share of each strand's reads, which is 0 on a strand without reads. A site without counts passes."""
+    def enough(strand: int) -> Column:
+        called = F.when(polymorphic, dp4[2 + strand]).otherwise(dp4[strand])
+        share = F.coalesce(called / F.nullif(dp4[strand] + dp4[2 + strand], F.lit(0)), F.lit(0.0))
+        return (called >= least_strand) & (share >= least_ratio)
+
+    depth = F.when(polymorphic, dp4[2] + dp4[3]).otherwise(dp4[0] + dp4[1])
+    return dp4.isNull() | ((depth >= least_depth) & enough(0) & enough(1))
 
 
 def valid_af1(af1: Column, polymorphic: Column, least: float = 0.95) -> Column:

@@ -7,6 +7,8 @@ long contig is not one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,18 +87,19 @@ def clusters(found: DataFrame, key: str, delta: int) -> DataFrame:
 
 
 def depth_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """DOC, STD, CV, BOC (share above 0), median and MAD of each key; the median comes from a first, partial aggregation over values."""
-    base = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("doc"), F.stddev_samp(value).alias("std"), (F.count_if(F.col(value) > 0) / F.count(value)).alias("boc"), F.percentile(value, F.lit(0.5)).alias("median"))
+    """DOC, STD, CV, BOC (percentage above 0), median and MAD of each key; the median comes from a first, partial aggregation over values."""
+    base = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("doc"), F.stddev_samp(value).alias("std"), (100.0 * F.count_if(F.col(value) > 0) / F.count(value)).alias("boc"), F.percentile(value, F.lit(0.5)).alias("median"))
     spread = df.join(base.select(*keys, "median"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
     return base.join(spread, keys).withColumn("cv", F.col("std") / F.nullif(F.col("doc"), F.lit(0.0)))
 
 
 def evenness(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """1 - (n - sum / mean) / N over positions at most the mean rounded half to even, the mean taken of covered positions."""
-    mean = df.where(F.col(value) > 0).groupBy(*keys).agg(F.bround(F.avg(value)).alias("__m"))
+    """1 - (n - sum / C) / N: C is the mean of the N values, rounded half to even, n and sum are of the values up to C; 1 where none is. Null values don't count; keys may be null."""
+    mean = df.groupBy(*keys).agg(F.bround(F.avg(value)).alias("__m")).withColumnsRenamed({k: f"__{k}" for k in keys})
     low = F.col(value) <= F.col("__m")
-    joined = df.join(mean, keys)
-    return joined.groupBy(*keys).agg((1 - (F.count_if(low) - F.sum(F.when(low, F.col(value))) / F.nullif(F.first("__m"), F.lit(0.0))) / F.count("*")).alias("evenness"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    share = (F.count_if(low) - F.sum(F.when(low, F.col(value))) / F.nullif(F.first("__m"), F.lit(0.0))) / F.count(value)
+    return df.join(mean, same).groupBy(*keys).agg(F.when((F.count_if(low) == 0) & (F.count(value) > 0), 1.0).otherwise(1 - share).alias("evenness"))
 
 
 def binned(df: DataFrame, key: str, pos: str, value: str, width: int) -> DataFrame:

@@ -54,7 +54,7 @@ def coverage_cnv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.clusters(roi(spark, sf_dir), "chrom", 20).select("chrom", "start", "end", "n_regions", "size")
 
 
-@query(f"""WITH {_TRACK}, base AS (SELECT chrom, count(cov) AS n, avg(cov) AS doc, stddev_samp(cov) AS std, count(*) FILTER (cov > 0) / count(cov) AS boc, quantile_cont(cov, 0.5) AS median FROM track GROUP BY chrom),
+@query(f"""WITH {_TRACK}, base AS (SELECT chrom, count(cov) AS n, avg(cov) AS doc, stddev_samp(cov) AS std, 100.0 * count(*) FILTER (cov > 0) / count(cov) AS boc, quantile_cont(cov, 0.5) AS median FROM track GROUP BY chrom),
  spread AS (SELECT chrom, quantile_cont(abs(cov - median), 0.5) AS mad FROM track JOIN base USING (chrom) GROUP BY chrom)
  SELECT chrom, n, round(doc, 6) AS doc, round(std, 6) AS std, round(boc, 6) AS boc, round(median, 6) AS median, round(mad, 6) AS mad, round(std / nullif(doc, 0), 6) AS cv FROM base JOIN spread USING (chrom)""")
 def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.depth_statistics(events, ["chrom"], "cov").select("chrom", "n", *(r6(c).alias(c) for c in ("doc", "std", "boc", "median", "mad", "cv")))
 
 
-@query("""WITH m AS (SELECT event_type AS chrom, round_even(avg(value), 0) AS m FROM events WHERE value > 0 GROUP BY event_type)
- SELECT chrom, round(1 - (count(*) FILTER (value <= m) - sum(value) FILTER (value <= m) / nullif(first(m), 0)) / count(*), 6) AS evenness FROM events JOIN m ON chrom = event_type GROUP BY chrom""")
+@query("""WITH m AS (SELECT event_type AS chrom, round_even(avg(value), 0) AS m FROM events GROUP BY event_type)
+ SELECT chrom, round(CASE WHEN count(*) FILTER (value <= m) = 0 THEN 1 ELSE 1 - (count(*) FILTER (value <= m) - sum(value) FILTER (value <= m) / nullif(first(m), 0)) / count(value) END, 6) AS evenness FROM events JOIN m ON chrom = event_type GROUP BY chrom""")
 def coverage_evenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), F.col("value").alias("cov"))
     return tracks.evenness(events, ["chrom"], "cov").select("chrom", r6("evenness").alias("evenness"))

@@ -97,13 +97,13 @@ def palindromes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers_of(dna(spark, sf_dir), 6).where(sequence.is_reverse_palindrome(F.col("kmer"))).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_DNA} SELECT doc_id, i - 1 AS \"start\", substr(s, i, 6) AS site FROM {_KMERS.format(k=6)} WHERE substr(s, i, 6) IN ('GAATTC', 'GGATCC', 'AAGCTT')")
-def restriction_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def found(site: str) -> Column:
-        return F.transform(sequence.starts_of(F.col("s"), site), lambda i: F.struct(i.cast("bigint").alias("start"), F.lit(site).alias("site")))
+_ENZYMES = {"EcoRI": "GAATTC", "BamHI": "GGATCC", "HindIII": "AAGCTT", "NotI": "GCGGCCGC", "Sau3AI": "GATC", "MluCI": "AATT"}
+
 
-    rows = dna(spark, sf_dir).select("doc_id", F.explode(F.concat(*map(found, ("GAATTC", "GGATCC", "AAGCTT")))).alias("x"))
-    return rows.select("doc_id", "x.start", "x.site")
+@query(f"WITH {_DNA}, e AS (SELECT unnest(['{"', '".join(_ENZYMES)}']) AS enzyme, unnest(['{"', '".join(_ENZYMES.values())}']) AS site), p AS (SELECT doc_id, upper(s) AS s, unnest(range(1, length(s) + 1)) AS pos FROM dna) SELECT doc_id, enzyme, pos FROM p JOIN e ON substr(s, pos, length(site)) = site")
+def restriction_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dna(spark, sf_dir).select("doc_id", F.explode(sequence.restriction_sites(F.lower("s"), _ENZYMES)).alias("x"))
+    return rows.select("doc_id", "x.enzyme", "x.pos")
 
 
 @query(f"WITH {_DNA} SELECT doc_id, len(regexp_extract_all(s, 'CG'))::BIGINT AS cpg, round(len(regexp_extract_all(s, 'CG')) * length(s) / nullif({_sql_n('C')} * {_sql_n('G')}, 0), 6) AS ratio FROM dna")
@@ -116,9 +116,9 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dna(spark, sf_dir).select("doc_id", F.md5(sequence.reverse_complement(F.col("s"))).alias("revcomp_md5"))
 
 
-@query(f"WITH {_DNA} SELECT doc_id, (2 * ({_sql_n('A')} + {_sql_n('T')}) + 4 * ({_sql_n('G')} + {_sql_n('C')}))::BIGINT AS wallace, round(64.9 + 41.0 * ({_sql_n('G')} + {_sql_n('C')} - 16.4) / nullif(length(s), 0), 6) AS marmur FROM dna")
+@query(f"WITH {_DNA} SELECT doc_id, (2 * ({_sql_n('A')} + {_sql_n('T')}) + 4 * ({_sql_n('G')} + {_sql_n('C')}))::BIGINT AS wallace, round(69.3 + 41.0 * ({_sql_n('G')} + {_sql_n('C')}) / nullif(length(s), 0) - 650.0 / nullif(length(s), 0), 6) AS salt_adjusted FROM dna")
 def melting_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dna(spark, sf_dir).select("doc_id", sequence.tm_wallace(F.col("s")).cast("bigint").alias("wallace"), r6(sequence.tm_marmur(F.col("s"))).alias("marmur"))
+    return dna(spark, sf_dir).select("doc_id", sequence.tm_wallace(F.col("s")).cast("bigint").alias("wallace"), r6(sequence.tm_salt_adjusted(F.col("s"))).alias("salt_adjusted"))
 
 
 _RUNS = "(SELECT doc_id, unnest(regexp_extract_all(s, 'A+|C+|G+|T+')) AS run FROM dna)"
@@ -175,7 +175,7 @@ def lander_waterman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.join(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", r6(c).alias("coverage"), r6(quality.share_covered(c)).alias("covered"), r6(quality.expected_contigs(F.col("n"), c)).alias("contigs"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(2 * sqrt(l_quantity + 3.0 / 8), 6) AS y, round(pow(2 * sqrt(l_quantity + 3.0 / 8), 2) / 4 - 3.0 / 8, 6) AS x FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(y, 6) AS y, round(0.25 * y * y + 0.25 * sqrt(1.5) / y - 11.0 / 8 / (y * y) + 5.0 / 8 * sqrt(1.5) / (y * y * y) - 1.0 / 8, 6) AS x FROM (SELECT *, 2 * sqrt(l_quantity + 3.0 / 8) AS y FROM lineitem)")
 def anscombe(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = quality.anscombe(F.col("l_quantity"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(y).alias("y"), r6(quality.inverse_anscombe(y)).alias("x"))

@@ -70,8 +70,12 @@ def mpileup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def plain_bases(bases, ref):
-    """Bases of a pileup column in upper case, without marks and indels."""
-    bare = F.regexp_replace(F.regexp_replace(bases, "\\^.", ""), "\\$", "")
-    for n in range(20, 0, -1):  # lengths of indels; longer ones are rare in short reads and left as they are
-        bare = F.regexp_replace(bare, f"[+-]{n}[ACGTNacgtn]{{{n}}}", "")
+    """Bases of a pileup column in upper case, without marks and indels. Behind each sign stand a length and so many letters of an indel."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(bases, "\\^.", ""), "\\$", ""), "[+-](?=[0-9])")
+
+    def behind(part):
+        digits = F.regexp_extract(part, "^([0-9]+)", 1)
+        return F.substr(part, F.length(digits) + digits.cast("int") + 1)
+
+    bare = F.array_join(F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(behind(part))), "")
     return F.upper(F.replace(F.replace(bare, F.lit("."), ref), F.lit(","), ref))

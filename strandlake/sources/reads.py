@@ -55,8 +55,8 @@ def fastq(spark: SparkSession, path: str, split_bytes: int = 128 << 20) -> DataF
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, comment, sequence, file: lines are cut at ``>``, so a large file is read in ranges."""
-    records = lines(spark, path, ">").where(F.trim("value") != "")
+    """name, comment, sequence, file: records are cut where a line begins with ``>``, so a large file is read in ranges. A file begins with such a line."""
+    records = lines(spark, path, "\n>").withColumn("value", F.regexp_replace("value", "^>", "")).where(F.trim("value") != "")
     header = F.regexp_extract("value", "^([^\\r\\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", "^[^\\r\\n]*", ""), "\\s", "")
     return records.select(F.regexp_extract(header, "^(\\S+)", 1).alias("name"), F.regexp_extract(header, "^\\S+\\s+(.*)$", 1).alias("comment"), body.alias("sequence"), "file")
