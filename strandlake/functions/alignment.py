@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # SAM flag bits.
@@ -48,8 +48,84 @@ def has_flag(flag: Column, name: str) -> Column:
     return flag.bitwiseAND(FLAGS[name]) != 0
 
 
-def introns(start: Column, cigar: Column) -> Column:
-    """(start, end) on the reference of each N operation, half open."""
-    step = lambda a, x: F.struct((a["at"] + F.when(F.lit(REFERENCE_OPS).contains(x["op"]), x["len"]).otherwise(0)).alias("at"), F.when(x["op"] == "N", F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + x["len"]).alias("end"))))).otherwise(a["out"]).alias("out"))
+def blocks(start: Column, cigar: Column, op: str, advance: str = REFERENCE_OPS) -> Column:
+    """(start, end), half open, of each ``op``, from ``start`` on; only the operations of ``advance`` move on."""
+    step = lambda a, x: F.struct((a["at"] + F.when(F.lit(advance).contains(x["op"]), x["len"]).otherwise(0)).alias("at"), F.when(x["op"] == op, F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + x["len"]).alias("end"))))).otherwise(a["out"]).alias("out"))
     zero = F.struct(start.cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
     return F.aggregate(cigar_ops(cigar), zero, step)["out"]
+
+
+def exons(start: Column, cigar: Column) -> Column:
+    """Blocks of M; D, N and S move on as well."""
+    return blocks(start, cigar, "M", "MDNS")
+
+
+def clips(start: Column, cigar: Column) -> Column:
+    """Blocks of S; M, D and N move on as well."""
+    return blocks(start, cigar, "S", "MDNS")
+
+
+def deletions(start: Column, cigar: Column) -> Column:
+    """Blocks of D, behind what M, N and S moved on."""
+    return blocks(start, cigar, "D", "MDNS")
+
+
+def insertions(start: Column, cigar: Column) -> Column:
+    """(start, size) of each I; it takes no place itself."""
+    return F.transform(blocks(start, cigar, "I", "MDNS"), lambda x: F.struct(x["start"].alias("start"), (x["end"] - x["start"]).alias("size")))
+
+
+def expanded(cigar: Column) -> Column:
+    """One letter an operation's base: 2M1I is MMI."""
+    return F.array_join(F.transform(cigar_ops(cigar), lambda x: F.repeat(x["op"], x["len"])), "")
+
+
+def op_total(cigar: Column, op: str) -> Column:
+    return cigar_length(cigar, op)
+
+
+def cs_totals(cs: Column) -> Column:
+    """Struct M, I, D, S of a cs tag (``:6*ag+gt-c``): matching, inserted and deleted bases, and substitutions."""
+    letters = lambda sign: F.aggregate(F.regexp_extract_all(cs, F.lit(f"\\{sign}([a-z]+)"), 1), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    matches = F.aggregate(F.regexp_extract_all(cs, F.lit(":(\\d+)"), 1), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return F.struct(matches.alias("M"), letters("+").alias("I"), letters("-").alias("D"), F.regexp_count(cs, F.lit("\\*[a-z]{2}")).cast("long").alias("S"))
+
+
+def concordance(matches: Column, insertions: Column, deletions: Column, substitutions: Column) -> Column:
+    """1 - (I + D + S) / (M + I + D + S); null without a base."""
+    errors = insertions + deletions + substitutions
+    return 1 - errors / F.nullif(matches + errors, F.lit(0))
+
+
+def concordance_of_edits(cigar: Column, edits: Column) -> Column:
+    """Concordance from a CIGAR string and the NM tag, whose edits beyond I and D are substitutions among the M."""
+    i, d = op_total(cigar, "I"), op_total(cigar, "D")
+    return concordance(op_total(cigar, "M"), i, d, edits - i - d)
+
+
+def query_start(flag: Column, cigar: Column) -> Column:
+    """Clipped bases before the alignment on the read's own strand."""
+    lead, tail = (F.coalesce(F.regexp_extract(cigar, p, 1).try_cast("long"), F.lit(0)) for p in ("^(\\d+)[SH]", "(\\d+)[SH]$"))
+    return F.when(has_flag(flag, "reverse"), tail).otherwise(lead)
+
+
+def query_end(flag: Column, cigar: Column) -> Column:
+    """Length of the read less the clipped bases behind the alignment on its own strand."""
+    lead, tail = (F.coalesce(F.regexp_extract(cigar, p, 1).try_cast("long"), F.lit(0)) for p in ("^(\\d+)[SH]", "(\\d+)[SH]$"))
+    return query_length(cigar) + cigar_length(cigar, "H") - F.when(has_flag(flag, "reverse"), lead).otherwise(tail)
+
+
+def flag_meanings(flag: Column) -> Column:
+    """Names of the bits that are set, least first."""
+    return F.filter(F.array(*(F.when(has_flag(flag, name), F.lit(name)) for name in FLAGS)), lambda x: x.isNotNull())
+
+
+def read_frame(df: DataFrame) -> DataFrame:
+    """flag, rstart, rend, mapqs, rname, qname, qlen, qalen of alignments with SAM columns; positions are 0-based, half open."""
+    start = F.col("pos") - 1
+    return df.select("flag", start.alias("rstart"), (start + reference_length(F.col("cigar"))).alias("rend"), F.col("mapq").alias("mapqs"), "rname", "qname", query_length(F.col("cigar")).alias("qlen"), cigar_length(F.col("cigar"), "MI=X").alias("qalen"))
+
+
+def introns(start: Column, cigar: Column) -> Column:
+    """(start, end) on the reference of each N operation, half open."""
+    return blocks(start, cigar, "N")

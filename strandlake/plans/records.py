@@ -13,10 +13,13 @@ query = Registry()
 _CIGAR = "c AS (SELECT l_orderkey, l_linenumber, l_linenumber || 'S' || CAST(l_quantity AS INTEGER) || 'M' || (l_suppkey % 5 + 1) || 'D' || (l_partkey % 7 + 1) || 'M' || (l_orderkey % 3 + 1) || 'N' || (l_linenumber + 2) || 'M' AS cigar FROM lineitem)"
 
 
-def _cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cigar_column():
     s = lambda c: c.cast("string")
-    cigar = F.concat(s(F.col("l_linenumber")), F.lit("S"), s(F.col("l_quantity").cast("int")), F.lit("M"), s(F.col("l_suppkey") % 5 + 1), F.lit("D"), s(F.col("l_partkey") % 7 + 1), F.lit("M"), s(F.col("l_orderkey") % 3 + 1), F.lit("N"), s(F.col("l_linenumber") + 2), F.lit("M"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cigar.alias("cigar"))
+    return F.concat(s(F.col("l_linenumber")), F.lit("S"), s(F.col("l_quantity").cast("int")), F.lit("M"), s(F.col("l_suppkey") % 5 + 1), F.lit("D"), s(F.col("l_partkey") % 7 + 1), F.lit("M"), s(F.col("l_orderkey") % 3 + 1), F.lit("N"), s(F.col("l_linenumber") + 2), F.lit("M"))
+
+
+def _cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cigar_column().alias("cigar"))
 
 
 def _sum_of(ops: str) -> str:
