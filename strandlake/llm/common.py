@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key table up to which it is broadcast; above, Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of its Parquet files up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Words whose hash a worker keeps; the memory is emptied when it is full.
 WORD_CACHE = 150_000
 
@@ -26,35 +31,61 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one on a local master; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_remove, spark, found)
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
     return found
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _hadoop(path: str) -> tuple:
+    """File system and path, by a gateway that outlives a stopped session."""
+    from pyspark import SparkContext
 
+    jvm = SparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    active = SparkContext._active_spark_context
+    conf = active._jsc.hadoopConfiguration() if active is not None and active._jsc is not None else jvm.org.apache.hadoop.conf.Configuration()
+    return at.getFileSystem(conf), at
 
-#: Paths of the tables stored inside each open ``scratch``.
+
+def _remove(path: str) -> None:
+    """Delete a stored table, also after its session was stopped; one that can't be reached any more is left."""
+    _KEPT.discard(path)
+    try:
+        files, at = _hadoop(path)
+        files.delete(at, True)
+    except (Py4JError, AttributeError, OSError):
+        warnings.warn(f"{path} was not removed", stacklevel=2)
+
+
+#: Paths of the tables stored inside each open ``scratch``, and of those that results read.
 _SCRATCH: list[list[str]] = []
+_KEPT: set[str] = set()
+
+
+def release() -> None:
+    """Remove the stored tables that results so far read; call it when they are consumed. The end of the driver does it as well."""
+    for path in list(_KEPT):
+        _remove(path)
+
+
+atexit.register(release)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost no recomputation. The table goes with its ``scratch``, or when the driver ends."""
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost no recomputation. The table goes with its ``scratch``, by ``release``, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     else:
-        atexit.register(_remove, spark, path)
+        _KEPT.add(path)
     return _named(spark.read.schema(df.schema).parquet(path), path)
 
 
@@ -78,11 +109,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         for path in _SCRATCH.pop():
             if path not in kept:
-                _remove(spark, path)
+                _remove(path)
             elif _SCRATCH:
                 _SCRATCH[-1].append(path)
             else:
-                atexit.register(_remove, spark, path)
+                _KEPT.add(path)
 
 
 @contextmanager
@@ -98,8 +129,12 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
 
 
 def sized(keys: DataFrame) -> DataFrame:
-    """``keys`` with a broadcast hint if its counted rows stay under BROADCAST_ROWS."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+    """``keys``, stored, with a broadcast hint if the rows and bytes of the table stay under BROADCAST_ROWS and BROADCAST_BYTES."""
+    if not hasattr(keys, "_stored_at"):
+        keys = stored(keys, "keys")
+    files, at = _hadoop(keys._stored_at)
+    small = files.getContentSummary(at).getLength() <= BROADCAST_BYTES and keys.count() <= BROADCAST_ROWS
+    return F.broadcast(keys) if small else keys
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -84,9 +84,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     few = n < TWO_FROM
     prefix = F.when(n >= 3, F.slice("s", 1, (n - least_common(n, num, den) + F.when(few, 1).otherwise(2)).cast("int")))  # smaller sets match equal ones only
     node = F.xxhash64("s").bitwiseAND(~1).bitwiseOR(few.cast("bigint"))  # odd: a set of few
-    lines = keep(stored(tokenized.select("id", "th", "no", "n", F.when(n > 0, node).alias("p"), F.when(n > 0, F.xxhash64("s", F.lit(1))).alias("q"), *(F.when(n >= 3, marks(F.col("s"), k)).alias(f"b{k}") for k in (0, 1)), prefix.alias("prefix")), "lines"))
+    lines = stored(tokenized.select("id", "th", "no", "n", F.when(n > 0, node).alias("p"), F.when(n > 0, F.xxhash64("s", F.lit(1))).alias("q"), *(F.when(n >= 3, marks(F.col("s"), k)).alias(f"b{k}") for k in (0, 1)), prefix.alias("prefix")), "lines")
     at = F.struct("id", "no", "th")
-    nodes = lines.where("p is not null").groupBy("p", "q").agg(F.min(at).alias("first"))
 
     posted = lines.where("prefix is not null").select("p", "n", F.posexplode("prefix").alias("i", "h"))
     lists = stored(posted.groupBy("h").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("c")).where("a != b"), "lists")
@@ -121,7 +120,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     asked = places.groupBy(F.col("id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("no", "p")).alias("nos"))
     found = texts.join(sized(asked), (F.col("th") == F.col("of_th")) & F.col("id").eqNullSafe(F.col("of")))
     parts = bound(F.split("text", "\n"), lambda part: F.transform("nos", lambda x: F.struct(x["p"].alias("p"), F.get(part, x["no"]).alias("line"))))
-    sets = stored(found.select(F.explode(parts).alias("x")).select("x.p", tokens(F.col("x.line"), width).alias("s")).dropDuplicates(["p"]).withColumn("n", F.size("s")), "sets")
+    sets = stored(found.select(F.explode(parts).alias("x")).select("x.p", tokens(F.col("x.line"), width).alias("s")).withColumn("n", F.size("s")), "sets")
+    if sets.count() > places.count():  # rows equal in id and text
+        sets = stored(sets.dropDuplicates(["p"]), "sets")
 
     def verified(c: DataFrame) -> DataFrame:
         """Later nodes of pairs that match."""
@@ -136,8 +137,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     matched = stored(matched.union(verified(candidates.join(sized(matched), "later", "left_anti").select("later", "earlier"))), "matched")
 
     # nodes of long lists: tokens in order of rarity among them; those without a match so far look the first of theirs up among the first of all
-    listed = sets.join(sized(many), "p", "left_semi").repartition("p").select("p", "n", F.explode("s").alias("h"))
-    counts = stored(listed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    common = sets.join(sized(many), "p", "left_semi")
+    listed = common.repartition("p").select("p", "n", F.explode("s").alias("h"))  # one shuffle of sets: the rows of a node meet again below without another
+    counts = stored(common.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     unseen = n - F.size("o")  # tokens that no other such node has come first
     first_ones = F.slice("o", 1, F.greatest(n - least_common(n, num, den) + 1 - unseen, F.lit(0)).cast("int"))
     ranked = listed.join(sized(counts), "h").groupBy("p").agg(F.min("n").alias("n"), F.array_sort(F.collect_set(F.struct("c", "h"))).alias("o"))
@@ -147,12 +149,24 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     x, y = (df.select("h", F.col("p").alias(c), F.col("n").alias(f"n_{c}"), F.col("i").alias(f"i_{c}")) for df, c in ((open_ones, "a"), (ordered, "b")))
     late = x.join(y, "h").where((F.col("a") != F.col("b")) & can_match(F.col("n_a"), F.col("n_b"), F.col("i_a"), F.col("i_b"), 0, num, den)).select("a", "b").distinct()
     late = late.join(side("a"), "a").join(side("b"), "b").where(allowed & (place("b_") < place("a_"))).select(F.col("a").alias("later"), F.col("b").alias("earlier"))
-    matched = keep(stored(matched.union(verified(late.join(candidates, ["later", "earlier"], "left_anti"))), "matched"))
-
-    limits = nodes.join(matched.select(F.col("later").alias("p"), F.lit(True).alias("matched")).distinct(), "p", "left").select("p", "q", F.when(F.col("matched"), F.lit(None)).otherwise(F.col("first")).alias("kept_at"))
-    judged = lines.select("id", "th", "no", "p", "q").join(limits, ["p", "q"], "left").withColumn("gone", F.col("p").isNotNull() & ~at.eqNullSafe(F.col("kept_at")))
-    numbers = {name: F.array_sort(F.collect_set(F.when(F.col(column), F.col("no")))).alias(name) for name, column in (("removed", "gone"), ("worded", "has"))}
-    return judged.withColumn("has", F.col("p").isNotNull()).groupBy("id", "th").agg((F.max("no") + 1).cast("bigint").alias("n_lines"), F.count_if(F.col("no") == 0).alias("copies"), *numbers.values())
+    matched = stored(matched.union(verified(late.join(candidates, ["later", "earlier"], "left_anti"))), "matched")
+
+    # only lines that another equals, or whose set matches another, can go
+    worded = lines.where("p is not null")
+    several = worded.groupBy("p", "q").agg(F.count("*").alias("c")).where("c > 1").select("p", "q", F.lit(False).alias("matches"))
+    single = worded.join(sized(matched.select(F.col("later").alias("p")).distinct()), "p").select("p", "q", F.lit(True).alias("matches"))
+    touched = several.union(single).groupBy("p", "q").agg(F.max("matches").alias("matches"))
+    held = stored(worded.select("id", "th", "no", "p", "q").join(sized(touched), ["p", "q"]), "held")
+    kept_at = held.where("not matches").groupBy("p", "q").agg(F.min(at).alias("kept_at"))
+    gone = held.join(sized(kept_at), ["p", "q"], "left").where(~at.eqNullSafe(F.col("kept_at"))).select("id", "th", "no")
+    removed = gone.groupBy(F.col("id").alias("of"), F.col("th").alias("of_th")).agg(F.array_sort(F.collect_set("no")).alias("removed"))
+    every = lines.groupBy("id", "th").agg((F.max("no") + 1).cast("bigint").alias("n_lines"), F.count_if(F.col("no") == 0).alias("copies"))
+    every = keep(stored(every, "every"))
+    repeated = sized(every.where("copies > 1").select("id", "th").withColumnsRenamed({"id": "of", "th": "of_th"}))
+    here = (F.col("th") == F.col("of_th")) & F.col("id").eqNullSafe(F.col("of"))
+    numbers = worded.join(repeated, here).groupBy("of", "of_th").agg(F.array_sort(F.collect_set("no")).alias("worded"))
+    answered = every.join(keep(stored(removed, "gone")), here, "left").drop("of", "of_th").join(sized(keep(stored(numbers, "copies"))), here, "left")
+    return answered.select("id", "th", "n_lines", "copies", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "worded")
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -197,13 +211,17 @@ def without_later_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         gone = keep(stored(judged.where((F.size("removed") > 0) | (F.col("copies") > 1)).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("copies").alias("__copies"), F.col("removed").alias("__removed"), F.when(F.col("copies") > 1, F.col("worded")).alias("__worded")), "removed"))
         key = (F.xxhash64(text_col) == F.col("__th")) & docs[id_col].eqNullSafe(F.col("__id"))
         joined = docs.join(sized(gone), key, "left")
-        repeated = docs.join(sized(gone.where("__copies > 1")), key).withColumn("__row", F.monotonically_increasing_id())
-        repeated = keep(stored(repeated, "repeated"))
-        leads = repeated.groupBy("__id", "__th").agg(F.min("__row").alias("__lead")).withColumnsRenamed({"__id": "__of", "__th": "__of_th"})
-        repeated = repeated.join(sized(leads), (F.col("__th") == F.col("__of_th")) & F.col("__id").eqNullSafe(F.col("__of"))).withColumn("__removed", F.when(F.col("__row") == F.col("__lead"), F.col("__removed")).otherwise(F.col("__worded")))
+        several = gone.where("__copies > 1")
+        repeated = None
+        if not several.isEmpty():  # one row of each class of equal rows keeps its lines
+            repeated = keep(stored(docs.join(sized(stored(several, "several")), key).withColumn("__row", F.monotonically_increasing_id()), "repeated"))
+            leads = repeated.groupBy("__id", "__th").agg(F.min("__row").alias("__lead")).withColumnsRenamed({"__id": "__of", "__th": "__of_th"})
+            leads = sized(keep(stored(leads, "leads")))
+            repeated = repeated.join(leads, (F.col("__th") == F.col("__of_th")) & F.col("__id").eqNullSafe(F.col("__of"))).withColumn("__removed", F.when(F.col("__row") == F.col("__lead"), F.col("__removed")).otherwise(F.col("__worded")))
 
     def cleaned(df: DataFrame) -> DataFrame:
         kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, k: ~F.array_contains("__removed", k)), "\n")
         return df.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
 
-    return cleaned(joined.where("__copies is null or __copies = 1")).union(cleaned(repeated))
+    single = cleaned(joined.where("__copies is null or __copies = 1"))
+    return single if repeated is None else single.union(cleaned(repeated))
