@@ -1,19 +1,20 @@
-"""N-gram Jaccard join: blocked product of the document by shingle incidence matrix with itself.
-
-The product is never taken over all documents. Size-derived prefixes leave few
-pairs that can reach the threshold; these fall into clusters, and each cluster is
-multiplied in blocks whose sizes can match.
+"""N-gram Jaccard join: blocked sparse product of the document by shingle incidence matrix with itself.
+
+Rows of the matrix are the distinct shingle sets, columns the shingles. Column
+blocks are multiplied first over each row's size-derived prefix: a task holds a
+block of columns and accumulates common counts of row pairs, blocks are summed,
+and pairs below the bound that their sizes set are discarded. The products of the
+pairs that are left are completed over all columns, in blocks of rows. Columns with many rows
+are not multiplied with themselves: their rows are held against the column's first
+row, and what that leaves apart is paired by sizes and marks.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import WordHashes, as_bytes, components, map_arrow, rolling, scratch, sized, small_batches, split_words, stored
@@ -25,10 +26,14 @@ NUM, DEN = 75, 100
 HEAVY = 200_000
 #: Shingles that a task counts at once to find frequent ones.
 COUNTED = 8_000_000
-#: Documents of one posting list up to which its pairs are counted; longer lists go to a cluster as a whole.
+#: Rows of one column up to which all its pairs are counted.
 LIST = 128
-#: Documents in a block of the product, and columns multiplied at once.
-BLOCK, COLUMNS = 512, 8192
+#: Rows of a long column that one copy of those outside its main component meets.
+BLOCK = 4096
+#: Partners in a block of the second product, and their items that a task holds.
+PARTNERS, HELD = 256, 4_000_000
+#: Words of 64 marks of a set.
+MARKS = 4
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -68,8 +73,18 @@ def heavy_shingles(rows: DataFrame, width: int, limit: int) -> np.ndarray:
     return found.select("h").toArrow().column("h").to_numpy().view(np.uint64)[::-1]
 
 
+def marks(s: np.ndarray) -> np.ndarray:
+    """Bits that the items of a set put on, in MARKS words."""
+    put = np.zeros(64 * MARKS, dtype=bool)
+    put[s & np.uint64(64 * MARKS - 1)] = True
+    return np.packbits(put).view(np.int64)
+
+
+SIGNATURES = "id bigint, n bigint, th bigint, node bigint, light array<bigint>, heavy array<bigint>, " + ", ".join(f"b{k} bigint" for k in range(MARKS))
+
+
 def signatures(rows: DataFrame, heavy: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """id, n, set_hash (null for an empty set), light and heavy: the shingles of its prefix."""
+    """id, n, th (hash of the text), node (hash of the set, null if empty), the shingles of its prefix, light and heavy, and its marks."""
     by_value = np.argsort(heavy)
     held = rows.sparkSession.sparkContext.broadcast((heavy[by_value], by_value.astype(np.uint64)))
 
@@ -90,11 +105,20 @@ def signatures(rows: DataFrame, heavy: np.ndarray, width: int, num: int, den: in
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, hashes, width) for t in as_bytes(batch.column("text"))]
             parts = [prefix(s) if len(s) else (s.view(np.int64), s.view(np.int64)) for s in sets]
-            return pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "set_hash": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), **{name: _lists([p[k] for p in parts]) for k, name in enumerate(("light", "heavy"))}})
+            put = np.stack([marks(s) for s in sets])
+            columns = {"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64())}
+            columns["th"] = batch.column("th")
+            columns["node"] = pa.array([signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None for s in sets], pa.int64())
+            columns |= {name: _lists([p[k] for p in parts]) for k, name in enumerate(("light", "heavy"))}
+            return pa.RecordBatch.from_pydict(columns | {f"b{k}": pa.array(put[:, k]) for k in range(MARKS)})
 
         return one
 
-    return map_arrow(rows, make, "id bigint, n bigint, set_hash binary, light array<bigint>, heavy array<bigint>")
+    return map_arrow(rows, make, SIGNATURES)
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -102,13 +126,18 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def counted_pairs(h: np.ndarray, ids: np.ndarray, n: np.ndarray, most: int, num: int, den: int) -> tuple[np.ndarray, ...]:
-    """From postings: (a, b, n of a, n of b, common) of pairs in lists of up to ``most`` documents; longer lists as stars with common -1."""
-    order = np.lexsort((n, ids, h))
-    h, ids, n = h[order], ids[order], n[order]
+def sizes_fit(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Sizes that can reach the threshold."""
+    return num * np.maximum(a, b) <= den * np.minimum(a, b)
+
+
+def block_product(h: np.ndarray, node: np.ndarray, n: np.ndarray, most: int, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Product of a block of columns, given by their non-zeros: (u, v, least size, common) of row pairs in it; a column of more than ``most`` rows gives its first row with each other, common -1."""
+    order = np.lexsort((node, h))
+    h, node, n = h[order], node[order], n[order]
     fresh = np.ones(len(h), dtype=bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])  # a repeated row; an id with texts of several sizes has each
-    h, ids, n = h[fresh], ids[fresh], n[fresh]
+    fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+    h, node, n = h[fresh], node[fresh], n[fresh]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
     size = np.diff(np.append(first, len(h)))
     start, size = np.repeat(first, size), np.repeat(size, size)
@@ -123,97 +152,72 @@ def counted_pairs(h: np.ndarray, ids: np.ndarray, n: np.ndarray, most: int, num:
         step += 1
     left = np.concatenate(left) if left else np.empty(0, np.int64)
     right = np.concatenate(right) if right else np.empty(0, np.int64)
-    order = np.lexsort((n[right], n[left], ids[right], ids[left]))
+    order = np.lexsort((node[right], node[left]))
     left, right = left[order], right[order]
     new = np.ones(len(left), dtype=bool)
-    new[1:] = np.any([x[side[1:]] != x[side[:-1]] for x in (ids, n) for side in (left, right)], axis=0)
+    new[1:] = (node[left[1:]] != node[left[:-1]]) | (node[right[1:]] != node[right[:-1]])
     at = np.flatnonzero(new)
     common = np.diff(np.append(at, len(left)))
     a, b = left[at], right[at]
     long = np.flatnonzero((size > most) & (start != np.arange(len(h))))
-    return tuple(np.concatenate(x) for x in ((ids[a], ids[start[long]]), (ids[b], ids[long]), (n[a], n[start[long]]), (n[b], n[long]), (common, np.full(len(long), -1))))
+    return tuple(np.concatenate(x) for x in ((node[a], node[start[long]]), (node[b], node[long]), (np.minimum(n[a], n[b]), n[long]), (common, np.full(len(long), -1))))
 
 
-def sizes_fit(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Sizes that can reach the threshold."""
-    return num * np.maximum(a, b) <= den * np.minimum(a, b)
+def marks_allow(num: int, den: int) -> Column:
+    """Whether rows x and y (n, marks) can link: each mark that one has alone stands for an item that it has alone."""
 
+    def alone(p: str, q: str) -> Column:
+        return sum((F.bit_count(F.col(f"{p}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.b{k}")))) for k in range(MARKS)), F.lit(0))
 
-def block_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links between side 0 and side 1 (all, if there is one side), as stars: each document with the smallest of those it is joined to in this block."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    columns, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = n[at] > 1
-    number = np.cumsum(n > 1) - 1
-    owner, at = owner[shared], number[at[shared]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    overlap = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for k in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
-        a, b = np.searchsorted(at, (k, k + COLUMNS))
-        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
-        part[owner[a:b], at[a:b] - k] = 1
-        overlap += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - overlap
-    linked = np.triu(den * overlap >= num * union, 1)
-    if side.any() and not side.all():
-        linked &= side[:, None] != side[None, :]
-    root = list(range(len(sets)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for a, b in zip(*np.nonzero(linked), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    for k in range(len(sets)):
-        if (r := find(k)) != k:
-            yield int(names[r]), int(names[k])
-
-
-def cluster_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) within clusters; ``members``: cluster, id, n, s (sorted hashes as bytes).
-
-    A cluster of up to BLOCK documents is one block. In a larger one, documents
-    are dealt by size class and then by hash into blocks, and those blocks meet
-    whose classes are the same or neighbours: others can't reach the threshold.
-    """
-    ratio = math.log(den / num) if num < den else math.log(1.01)
-    named = members.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9))
-    layout = named.groupBy("cluster", "k").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("k", F.ceil(F.col("c") / BLOCK).alias("m")))).alias("m"))  # size classes: a few dozen at most
-    dealt = named.join(layout, "cluster").withColumn("j", F.pmod(F.xxhash64("id"), F.col("m")[F.col("k")]))
-    own = F.concat_ws(".", F.lpad(F.col("k").cast("string"), 4, "0"), F.lpad(F.col("j").cast("string"), 9, "0"))
-    near = F.flatten(F.transform(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1), lambda k: F.transform(F.when(F.col("m")[k].isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.col("m")[k] - 1)).otherwise(F.array().cast("array<bigint>")), lambda j: F.concat_ws(".", F.lpad(k.cast("string"), 4, "0"), F.lpad(j.cast("string"), 9, "0")))))
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("total") <= BLOCK, F.array(F.lit(""))).otherwise(near)))
-    dealt = dealt.select("cluster", F.when(F.col("other") == "", "").otherwise(F.least("own", "other")).alias("x"), F.when(F.col("other") == "", "").otherwise(F.greatest("own", "other")).alias("y"), (F.col("own") > F.col("other")).alias("right") & (F.col("other") != ""), "id", "s")
-    dealt = dealt.toDF("cluster", "x", "y", "right", "id", "s").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id", "s")
+    n, m = F.col("x.n"), F.col("y.n")
+    most = F.least(n - alone("x", "y"), m - alone("y", "x"))
+    return den * most >= num * (n + m - most)
 
-    def run(batches):
-        key, rows = None, []
 
-        def product():
-            names = np.array([r[0] for r in rows], dtype=np.int64)
-            pairs = list(block_links(names, [np.frombuffer(r[1], dtype=np.uint64) for r in rows], np.array([r[2] for r in rows]), num, den))
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+def row_products(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) of blocks of rows; ``blocks``: u, salt, v, s, sorted: the set of u (v null), then those of its partners."""
 
-        for batch in batches:
-            for c, x, y, right, name, s in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if key != (c, x, y):
-                    if len(rows) > 1:
-                        yield from product()
-                    key, rows = (c, x, y), []
-                if not rows or rows[-1][:2] != (name, s):
-                    rows.append((name, s, right))
-        if len(rows) > 1:
-            yield from product()
+    def run(batches):
+        key, one, names, others, held, out = None, None, [], [], 0, []
+
+        def multiply():
+            nonlocal held
+            if others and one is not None:
+                sizes = np.array([len(s) for s in others])
+                rest = np.concatenate(others)
+                equal = one[np.minimum(np.searchsorted(one, rest), len(one) - 1)] == rest
+                overlap = np.add.reduceat(equal, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                good = den * overlap >= num * (len(one) + sizes - overlap)
+                out.extend((key[0], names[k]) for k in np.flatnonzero(good))
+            names.clear(), others.clear()
+            held = 0
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+        for batch in batches:
+            for u, salt, v, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if key != (u, salt):
+                    multiply()
+                    key, one = (u, salt), None
+                if v is None:
+                    one = np.frombuffer(s, dtype=np.uint64)
+                else:
+                    names.append(v)
+                    others.append(np.frombuffer(s, dtype=np.uint64))
+                    held += len(others[-1])
+                    if held > HELD:
+                        multiply()
+            if len(out) > 10_000:
+                yield _pairs(out)
+        multiply()
+        if out:
+            yield _pairs(out)
+
+    return blocks.mapInArrow(run, "u bigint, v bigint")
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*out, strict=True)
+    out.clear()
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -224,48 +228,99 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     den * intersection >= num * union. component_id is the smallest id reachable.
     Null, empty and blank texts have an empty set and stand alone, as do rows
     with a null id without an equal set. Rows that repeat an id are answered one
-    by one. An empty table gives no rows; other columns are not read. No pair is
-    lost: rows with equal sets form a class, and the classes' prefixes share a
-    known number of items if they link.
+    by one. An empty table gives no rows; other columns are not read. Ids are
+    numbers, or text that casts to one. No link between different components is
+    lost: rows with equal sets are one node, nodes that link share a known number
+    of items in their prefixes, and pairs are left out only if a bound says so, or
+    if links found before join them.
     """
     with scratch(docs.sparkSession) as keep:
-        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
         sigs = stored(signatures(rows, heavy_shingles(rows, width, HEAVY), width, num, den), "signatures")
-        classes = sigs.where("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("rep"))
-        reps = sigs.join(sized(classes.where("rep is not null").select("set_hash", F.col("rep").alias("id"))), ["set_hash", "id"], "left_semi")
+        traits = ["n", *(f"b{k}" for k in range(MARKS))]
+        whole = sigs.where("node is not null")
+        nodes = stored(whole.groupBy("node").agg(F.min("id").alias("rep"), F.min(F.struct("th", "id")).alias("first"), *(F.min(c).alias(c) for c in traits)), "nodes")
 
-        def pairs(batches):
+        # the product over prefixes, in blocks of columns
+        def product(batches):
             held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
             if held:
-                got = counted_pairs(*(pa.concat_tables(held).column(k).to_numpy() for k in ("h", "id", "n")), LIST, num, den)
+                got = block_product(*(pa.concat_tables(held).column(k).to_numpy() for k in ("h", "node", "n")), LIST, num, den)
                 for k in range(0, len(got[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in got], names=["u", "v", "nu", "nv", "common"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in got], names=["u", "v", "n", "common"])
 
-        met = stored(reps.select(F.explode("light").alias("h"), "id", "n").repartition("h").mapInArrow(pairs, "u bigint, v bigint, nu bigint, nv bigint, common bigint").groupBy("u", "v").agg(F.min("common").alias("least"), F.sum("common").alias("common"), F.min(F.least("nu", "nv")).alias("n")), "pairs")
+        blocks = whole.select(F.explode("light").alias("h"), "node", "n").repartition("h")
+        partial = blocks.mapInArrow(product, "u bigint, v bigint, n bigint, common bigint").groupBy("u", "v").agg(F.min("common").alias("least"), F.sum("common").alias("common"), F.min("n").alias("n"))
         enough = F.least(1 + F.floor(F.col("n") / 20), F.ceil(F.col("n") * num / den))
-        often = reps.select(F.explode("heavy").alias("h"), "id")
-        stars = often.join(often.groupBy("h").agg(F.min("id").alias("u")), "h").where("id > u").select("u", F.col("id").alias("v"))
-        clusters = stored(components(met.where((F.col("least") < 0) | (F.col("common") >= enough)).select("u", "v").union(stars)), "clusters")
-
-        def make():
-            hashes = WordHashes()
-
-            def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-                sets = [shingle_set(t, hashes, width) for t in as_bytes(batch.column("text"))]
-                return pa.RecordBatch.from_pydict({"cluster": batch.column("component"), "id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-            return one
+        partial = stored(partial.where((F.col("least") < 0) | (F.col("common") >= enough)).select("u", "v", (F.col("least") < 0).alias("star")), "pairs")
+        often = whole.select(F.explode("heavy").alias("h"), "node").distinct()
+        heads = often.groupBy("h").agg(F.min("node").alias("u"))
+        stars = often.join(sized(heads), "h").where("node != u").select("u", F.col("node").alias("v"))
+        stars = stored(partial.where("star").select("u", "v").union(stars).distinct(), "stars")
+        candidates = stored(partial.where("not star").select("u", "v").union(stars).distinct(), "candidates")
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            """The pairs that link: the product over all columns, in blocks of a row and its partners."""
+
+            def make():
+                hashes = WordHashes()
+
+                def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+                    sets = {}
+                    for node, t in zip(batch.column("node").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                        if node not in sets:
+                            sets[node] = shingle_set(t, hashes, width).tobytes()
+                    return pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], names=["node", "s"])
+
+                return one
+
+            pairs = stored(pairs, "asked")
+            salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
+            wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            sources = stored(nodes.join(sized(wanted), "node", "left_semi").select("node", F.col("first.th").alias("of_th"), F.col("first.id").alias("of")), "sources")
+            found = rows.join(sized(sources), (F.col("th") == F.col("of_th")) & F.col("id").eqNullSafe(F.col("of"))).select("node", "text")
+            sets = stored(map_arrow(found, make, "node bigint, s binary").dropDuplicates(["node"]), "sets")
+            leads = salts.select("u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")).withColumn("v", F.lit(None).cast("bigint")).withColumn("node", F.col("u"))
+            partners = pairs.join(sized(salts), "u").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).alias("salt"), "v", F.col("v").alias("node"))
+            dealt = sets.join(sized(leads.union(partners)), "node").select("u", "salt", "v", "s").repartition("u", "salt").sortWithinPartitions("u", "salt", F.asc_nulls_first("v"))
+            return row_products(dealt, num, den)
 
-        members = map_arrow(rows.join(sized(clusters), F.col("id") == F.col("node")).select("component", "id", "text"), make, "cluster bigint, id bigint, n bigint, s binary").where("n > 0")
         with small_batches(docs.sparkSession):
-            joined = components(cluster_links(members, num, den))
-        keep(sigs), keep(joined)
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    return sigs.select("id", "n", "set_hash").join(named, "set_hash", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+            # at first each row with the smallest of its partners: most links lie within what these join
+            chains = candidates.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+            links = stored(linked(chains), "links")
+            joined = components(links)
+
+            def placed(df: DataFrame, name: str) -> DataFrame:
+                """``df`` with the component of its node ``name`` so far."""
+                found = joined.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+                return df.join(sized(found), name, "left").withColumn(f"{name}_in", F.coalesce(f"{name}_in", name))
+
+            rest = placed(placed(candidates, "u"), "v").where("u_in != v_in").select("u", "v").join(sized(chains), ["u", "v"], "left_anti")
+
+            # long columns: rows outside the first row's component with all rows of other components
+            members = placed(placed(stars.union(stars.select("u", F.col("u").alias("v"))).distinct(), "u"), "v")
+            open_heads = members.groupBy("u").agg(F.min("v_in").alias("a"), F.max("v_in").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("a != b").select("u", "blocks")
+            members = stored(members.join(sized(open_heads), "u").join(nodes.select(F.col("node").alias("v"), *traits), "v"), "members")
+            x = members.where("v_in != u_in").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("x")
+            y = members.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).alias("y")
+            meets = (F.col("x.u") == F.col("y.u")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.v_in") != F.col("y.v_in")) & ((F.col("y.v_in") == F.col("y.u_in")) | (F.col("x.v") < F.col("y.v")))
+            fits = num * F.greatest("x.n", "y.n") <= den * F.least("x.n", "y.n")
+            crossing = x.join(y, meets & fits & marks_allow(num, den)).select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v")).distinct()
+            crossing = crossing.join(candidates, ["u", "v"], "left_anti")
+
+            links = stored(links.union(linked(rest.union(crossing).distinct())), "links")
+            joined = components(links)
+        members = joined.join(nodes.select("node", "rep"), "node")
+        least = members.groupBy("component").agg(F.min("rep").alias("least"))
+        named = nodes.select("node", "rep").join(sized(members.join(sized(least), "component").select("node", "least")), "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
+        named = keep(stored(named, "named"))
+        keep(sigs)
+    return sigs.select("id", "n", "node").join(sized(named), "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; rows that repeat an id stay or go together."""
+    """``docs`` with the document of the smallest id of each component; rows that repeat an id stay or go together, rows without an id stay."""
     with scratch(docs.sparkSession) as keep:
-        gone = keep(stored(ngram_components(docs, id_col=id_col, text_col=text_col).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone"))
-    return docs.join(sized(gone), id_col, "left_anti").select(docs.columns)
+        gone = keep(stored(ngram_components(docs, id_col=id_col, text_col=text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
+    return docs.join(sized(gone), F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti").select(docs.columns)
