@@ -109,13 +109,59 @@ def grouped(texts: list[bytes | None], size: int = CALL_BYTES) -> Iterator[tuple
         yield at, len(texts)
 
 
-def counts(tok, texts: list[bytes | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+#: Runs of blanks with what follows them: a pre-token of a byte-level tokenizer holds blanks at its start only, so one begins before each such run that follows something else.
+_PIECE = re.compile(rb"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: UTF-8 of other white space; next to it, a run of blanks may begin inside a pre-token.
+_ODD_BLANK = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
+
+
+class PieceCounts(dict):
+    """Token counts of pieces of text, for a byte-level tokenizer without a normalizer; kept for a bounded number of pieces."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tok = tok
+        self.cuts = tok.normalizer is None and type(tok.pre_tokenizer).__name__ == "ByteLevel"
+        self.special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+
+    def library(self, texts: list[bytes]) -> list[int]:
+        return [len(e) for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def splits(self, text: bytes) -> bool:
+        """Whether the pieces of a text have its tokens: not if it holds the string of an added token, or white space that leaves a cut unproven."""
+        return self.cuts and not any(t in text for t in self.special) and not _ODD_BLANK.search(text)
+
+    def of(self, texts: list[bytes]) -> list[int]:
+        """Token counts of whole texts."""
+        pieces = [_PIECE.findall(t) if self.splits(t) else None for t in texts]
+        rest = iter(self.library([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        new = list(set().union(*(p for p in pieces if p)).difference(self))
+        found = dict(zip(new, self.library(new), strict=True))
+        if len(self) + len(found) > KEPT_WORDS:
+            found |= {p: self[p] for p in set().union(*(p for p in pieces if p)) if p in self}
+            self.clear()
+        self.update(found)
+        n = [next(rest) if p is None else sum(map(self.__getitem__, p)) for p in pieces]
+        for p in new:
+            if len(p) > KEPT_LENGTH:
+                del self[p]
+        return n
+
+
+@cache
+def piece_counts(path: str) -> PieceCounts:
+    """One memory of pieces for all tasks of a Python worker."""
+    return PieceCounts(load(path))
+
+
+def counts(memory: PieceCounts, texts: list[bytes | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Token counts of texts: those of more than ``chunk`` characters by splicing, others by their pieces."""
     out: list[int] = []
     for a, b in grouped(texts):
-        part = [(t or b"").decode() for t in texts[a:b]]
-        short = [t for t in part if len(t) <= chunk]
-        n = iter([len(e) for e in tok.encode_batch_fast(short, add_special_tokens=False)])
-        out += [next(n) if len(t) <= chunk else sum(map(len, spliced(tok, t, chunk, overlap))) for t in part]
+        part = [t or b"" for t in texts[a:b]]
+        long = {k: text for k, t in enumerate(part) if len(t) > chunk and len(text := t.decode()) > chunk}
+        n = iter(memory.of([t for k, t in enumerate(part) if k not in long]))
+        out += [sum(map(len, spliced(memory.tok, long[k], chunk, overlap))) if k in long else next(n) for k in range(len(part))]
     return out
 
 
@@ -129,11 +175,11 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def make():
-        tok = load(path)
+        memory = piece_counts(path)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = as_bytes(batch.column("text"))
-            n = counts(tok, texts, chunk, overlap)
+            n = counts(memory, texts, chunk, overlap)
             return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())})
 
         return one
