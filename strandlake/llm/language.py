@@ -2,67 +2,104 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import as_bytes, map_arrow
+from strandlake.llm.common import as_bytes, map_arrow, mixed, split_words
 
-#: Labelled rows that the model is fitted on, at most about so many; kept words and n-grams, all languages together.
-FIT_ROWS, KEPT_WORDS, KEPT_GRAMS = 20_000, 150_000, 150_000
-#: Lengths of n-grams for unseen words, in order; seen fewer times, an entry is unknown.
-GRAMS, LEAST = (4, 3, 2, 1), 3
+#: Labelled rows that the model is fitted on, at most about so many. It keeps every word and n-gram of theirs.
+FIT_ROWS = 10_000
+#: Lengths of n-grams for unseen words, in order.
+GRAMS = (4, 3, 2, 1)
 #: Words whose scores a worker keeps.
 CACHE = 500_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+|\n")
 
 
-def letter_runs(word: bytes) -> list[str]:
-    return _LETTERS.findall(word.decode().lower())
+def letter_runs(words: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Lower-case letter runs of all words, and the number of the word that each is of."""
+    runs, owner, k = [], [], 0
+    for found in _RUNS.findall("\n".join(w.decode() for w in words).lower()):
+        if found == "\n":
+            k += 1
+        else:
+            runs.append(found)
+            owner.append(k)
+    return runs, np.array(owner, dtype=np.int64)
 
 
-def grams(run: str, n: int) -> list[str]:
-    """n-grams of a word framed by ^ and $; single letters without the frame."""
-    framed = f"^{run}$" if n > 1 else run
-    return [framed[k : k + n] for k in range(len(framed) - n + 1)]
+def run_keys(runs: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(r.encode()) for r in runs), dtype=np.uint64, count=len(runs))
+
+
+def gram_keys(runs: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams of runs, framed by ^ and $ (single letters without the frame), and the number of the run that each is of."""
+    codes = np.frombuffer("".join(f"^{r}$" for r in runs).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) + 2
+    starts = np.cumsum(sizes) - sizes
+    if n == 1:
+        sizes, starts = sizes - 2, starts + 1
+    many = np.maximum(sizes - n + 1, 0)
+    of = np.repeat(np.arange(len(runs)), many)
+    at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(len(of))
+    keys = np.full(len(at), n, dtype=np.uint64)
+    for k in range(n):
+        keys = keys * np.uint64(0x110003) + codes[at + k]
+    return mixed(keys), of
 
 
 class Model:
-    """Scores of words by language; rows: (n, entry, language, count), n being 0 for words."""
-
-    def __init__(self, rows: list[tuple[int, str, str, int]]):
-        self.langs = sorted({lang for _, _, lang, _ in rows})
-        at = {lang: k for k, lang in enumerate(self.langs)}
-        counts: dict[int, dict[str, list[float]]] = {n: {} for n in (0, *GRAMS)}
-        for n, entry, lang, c in rows:
-            counts[n].setdefault(entry, [0.0] * len(self.langs))[at[lang]] += c
-        self.tables: dict[int, dict[str, tuple[float, ...]]] = {}
-        for n, table in counts.items():
-            totals = [sum(c[k] for c in table.values()) for k in range(len(self.langs))]
-            size = len(table) + 1
-            self.tables[n] = {e: tuple(math.log((c + 0.5) / (t + 0.5 * size)) for c, t in zip(cs, totals, strict=True)) for e, cs in table.items()}
-
-    def run_scores(self, run: str) -> tuple[float, ...] | None:
-        """Log frequency of a word in each language, or the mean one of its longest n-grams that are known."""
-        if found := self.tables[0].get(run):
-            return found
+    """Log frequencies of words and n-grams by language, found by their keys; from columns n (0 for words), key, lang and count."""
+
+    def __init__(self, n: np.ndarray, key: np.ndarray, lang: np.ndarray, count: np.ndarray):
+        self.langs = sorted(set(lang.tolist()))
+        column = np.searchsorted(np.array(self.langs, dtype=object), lang) if len(lang) else np.empty(0, np.int64)
+        self.keys, at = np.unique(key, return_inverse=True)
+        counts = np.zeros((len(self.keys), max(1, len(self.langs))))
+        np.add.at(counts, (at, column), count)
+        kind = np.zeros(len(self.keys), dtype=np.int64)
+        kind[at] = n
+        self.scores = np.zeros_like(counts)
+        for k in np.unique(kind):
+            mine = kind == k
+            self.scores[mine] = np.log((counts[mine] + 0.5) / (counts[mine].sum(axis=0) + 0.5 * (mine.sum() + 1)))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of ``scores``, -1 for unknown keys."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def run_scores(self, runs: list[str]) -> np.ndarray:
+        """Log frequencies of each run, or the mean ones of its longest n-grams that are known, less the greatest; 0 where nothing is known."""
+        out = np.zeros((len(runs), self.scores.shape[1]))
+        at = self.find(run_keys(runs))
+        out[at >= 0] = self.scores[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for n in GRAMS:
-            table = self.tables[n]
-            hits = [table[g] for g in grams(run, n) if g in table]
-            if hits:
-                return tuple(sum(x) / len(hits) for x in zip(*hits, strict=True))
-        return None
+            if not len(left):
+                break
+            keys, of = gram_keys([runs[k] for k in left.tolist()], n)
+            at = self.find(keys)
+            of, at = of[at >= 0], at[at >= 0]
+            hits = np.bincount(of, minlength=len(left))
+            for k in range(out.shape[1]):
+                out[left, k] = np.bincount(of, weights=self.scores[at, k], minlength=len(left)) / np.maximum(hits, 1)
+            left = left[hits == 0]
+        return out - out.max(axis=1, keepdims=True) if len(runs) else out
 
 
 class Scorer:
-    """Language of texts. Words are scored once and kept, for a bounded number of words."""
+    """Language of texts. Words are scored once, all new ones of a batch together, and kept, for a bounded number of words."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -70,37 +107,33 @@ class Scorer:
 
     def _empty(self):
         self.index: dict[bytes, int] = {}
-        self.scores = np.zeros((1024, max(1, len(self.model.langs))))
-        self.used = 1  # row 0: no letter
-
-    def _learn(self, word: bytes) -> int:
-        runs = letter_runs(word)
-        if not runs:
-            return 0
-        if self.used == len(self.scores):
-            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-        if self.model.langs:
-            for run in runs:
-                if (s := self.model.run_scores(run)) is not None:
-                    self.scores[self.used] += np.array(s) - max(s)
-        self.used += 1
-        return self.used - 1
-
-    def language(self, text: bytes | None) -> tuple[str, float]:
-        words = text.split() if text else []
+        self.scores = np.zeros((1, max(1, len(self.model.langs))))  # row 0: no letter
+
+    def _learn(self, words: list[bytes]) -> None:
+        runs, owner = letter_runs(words)
+        with_letters, row = np.unique(owner, return_inverse=True)
+        scores = np.zeros((len(with_letters), self.scores.shape[1]))
+        if self.model.langs and runs:
+            np.add.at(scores, row, self.model.run_scores(runs))
+        rows = np.zeros(len(words), dtype=np.int64)
+        rows[with_letters] = len(self.scores) + np.arange(len(with_letters))
+        self.index.update(zip(words, rows.tolist(), strict=True))
+        self.scores = np.concatenate((self.scores, scores))
+
+    def languages(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if len(self.index) > CACHE:
             self._empty()
-        index = self.index
-        for w in set(words):
-            if w not in index:
-                index[w] = self._learn(w)
-        at = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        words = [split_words(t) for t in texts]
+        if new := list(set().union(*words).difference(self.index)):
+            self._learn(new)
+        return [self._best(np.fromiter(map(self.index.__getitem__, ws), dtype=np.int64, count=len(ws))) for ws in words]
+
+    def _best(self, at: np.ndarray) -> tuple[str, float]:
         at = at[at > 0]
         if not len(at) or not self.model.langs:
             return UNKNOWN, 0.0
         total = self.scores[at].sum(axis=0)
-        total -= total.max()
-        p = np.exp(total)
+        p = np.exp(total - total.max())
         best = int(p.argmax())
         return self.model.langs[best], float(p[best] / p.sum())
 
@@ -117,25 +150,21 @@ def fitted(rows: DataFrame, limit: int = FIT_ROWS) -> Model:
         for batch in batches:
             for text, lang in zip(as_bytes(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(text.split())
-        out: Counter = Counter()
         for lang, found in words.items():
-            for word, c in found.items():
-                for r in letter_runs(word):
-                    out[0, r, lang] += c
-                    for n in GRAMS:
-                        for g in grams(r, n):
-                            out[n, g, lang] += c
-        keys = list(out)
-        for k in range(0, len(keys), 50_000):
-            part = keys[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.string()), pa.array([x[2] for x in part], pa.string()), pa.array([out[x] for x in part], pa.int64())], names=["n", "entry", "lang", "c"])
-
-    counts = known.select("text", "lang").mapInArrow(run, "n int, entry string, lang string, c bigint").groupBy("n", "entry", "lang").agg(F.sum("c").alias("c")).where((F.col("c") >= LEAST) | (F.col("n") == 1)).persist()
-    top = [counts.where("n = 0").orderBy(F.desc("c"), "entry", "lang").limit(KEPT_WORDS), counts.where("n > 0").orderBy("n", F.desc("c"), "entry", "lang").limit(KEPT_GRAMS)]
-    try:
-        return Model([tuple(r) for t in top for r in t.collect()])
-    finally:
-        counts.unpersist()
+            runs, owner = letter_runs(list(found))
+            weights = np.fromiter(found.values(), dtype=np.int64, count=len(found))[owner]
+            for n in (0, *GRAMS):
+                keys, of = gram_keys(runs, n) if n else (run_keys(runs), np.arange(len(runs)))
+                keys, at = np.unique(keys, return_inverse=True)
+                count = np.bincount(at, weights=weights[of], minlength=len(keys)).astype(np.int64)
+                for k in range(0, len(keys), 50_000):
+                    part = slice(k, k + 50_000)
+                    size = len(keys[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, n, np.int32)), pa.array(keys[part].view(np.int64)), pa.array([lang] * size, pa.string()), pa.array(count[part])], names=["n", "key", "lang", "c"])
+
+    counts = known.select("text", "lang").mapInArrow(run, "n int, key bigint, lang string, c bigint").groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
+    found = counts.toArrow()
+    return Model(found.column("n").to_numpy(), found.column("key").to_numpy().view(np.uint64), np.array(found.column("lang").to_pylist(), dtype=object), found.column("c").to_numpy())
 
 
 def languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = FIT_ROWS) -> DataFrame:
@@ -156,7 +185,7 @@ def languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         scorer = _scorer(held)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [scorer.language(t) for t in as_bytes(batch.column("text"))]
+            got = scorer.languages(as_bytes(batch.column("text")))
             return pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "held_out": batch.column("held_out"), "lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
 
         return one
