@@ -126,6 +126,23 @@ def test_line_dedup(spark, monkeypatch, seed, rare):
         assert after[k] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[k][2]))
 
 
+def test_lines_of_repeated_and_missing_ids(spark):
+    same = "same line here with a few words"
+    texts = [same, f"x one\n{same}", "unique first\nunique second", "dup line a\ndup line a", "dup line b\n\ndup line b", "dup line b\n\ndup line b", "dup line b\n\ndup line b"]
+    docs = documents(spark, texts, [1, 5, 5, None, 9, 9, 9])
+    got = sorted(r.text for r in lines.without_later_matches(docs).collect())
+    assert got == sorted([same, "x one", "unique first\nunique second", "dup line a", "dup line b\n", "", ""])
+    rows = sorted((r.doc_id or 0, r.n_lines, tuple(r.removed)) for r in lines.removed_lines(docs).collect())
+    assert rows == [(0, 2, (1,)), (1, 1, ()), (5, 2, ()), (5, 2, (1,)), (9, 3, (0, 2)), (9, 3, (0, 2)), (9, 3, (2,))]
+
+
+def test_a_very_long_line(spark):
+    base = prose(91, 30_000, 10**6)
+    texts = [" ".join(base), " ".join([*base[:29_000], "x", *base[29_001:]]), " ".join(base[15_000:]), "\n".join(["short line of seven words it is"] * 3000)]
+    got = {r.doc_id: r.n_removed for r in lines.removed_lines(documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 2999}
+
+
 def test_near_lines_of_rows_without_id(spark):
     base = prose(55, 40)
     near = [*base[:-1], "other"]
@@ -197,6 +214,18 @@ def test_spliced_equals_whole():
             assert np.concatenate(list(tokens.spliced(tok, text, chunk, overlap))).tolist() == want
 
 
+def test_piece_counts():
+    tok = tokens.load(tokens.tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    blanks = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x180E, 0x2000, 0x200B, 0x2028, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    parts = [*blanks, " ", " ", "\n", "  ", "\n\n", "a", "Word", "12", "...", "'ll", "'", "é", "日本", "<|endoftext|>", "<|end", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(30)) for _ in range(4000)] + ["".join(rng.choice(parts[22:]) for _ in range(30)) for _ in range(2000)]
+    memory = tokens.PieceCounts(tok)
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert memory.of([t.encode() for t in texts]) == want == memory.of([t.encode() for t in texts])
+    assert sum(memory.splits(t.encode()) for t in texts) > 200
+
+
 def test_token_counts(spark):
     tok = tokens.load(tokens.tokenizer_path("byte_bpe_50k.json"))
     texts = [*FUZZ, " ".join(prose(8, 3000))]
