@@ -373,12 +373,11 @@ def found_by_functions(a, b, functions):
         for t in both:
             out = ([], [], [])
             passages.compact_windows(passages.ranks(t, passages._SEEDS[f]), 0, len(t), least, out)
-            places.append([(t[c], (c << 32) | ((c - l) << 16) | (r - c)) for l, c, r in zip(*out, strict=True)])
-        met += [(x, y, f) for h, x in places[0] for g, y in places[1] if h == g]
+            places.append([(t[c], c, ((c - l) << 32) | (r - c)) for l, c, r in zip(*out, strict=True)])
+        met += [((c << 32) | d, x, y, 2 * f) for h, c, x in places[0] for g, d, y in places[1] if h == g]
     if not met:
         return False
-    x, y, f = (np.array(c) for c in zip(*met, strict=True))
-    return len(passages.agreeing(x, y, f, np.zeros(len(f), dtype=bool), passages.AGREE)) > 0
+    return len(passages.agreeing(*(np.array(c) for c in zip(*met, strict=True)), np.arange(len(met)), passages.AGREE)) > 0
 
 
 def test_recall_of_near_passages():
@@ -400,10 +399,38 @@ def test_sides_of_a_long_list():
     start = np.concatenate((start, n * (2 * reach + 1) + np.arange(50) * (2 * reach + 1)))
     side = passages.sides(tokens, start + reach, start, start + 2 * reach + 1)
     ids = np.arange(n + 50)
-    u, v, *_, sure = passages.listed_pairs(np.zeros(n + 50, dtype=np.int64), ids, np.full(n + 50, reach << 32), side, passages.LIST)
+    u, v, *_, code = passages.listed_pairs(np.zeros(n + 50, dtype=np.int64), ids, np.full(n + 50, reach), np.zeros(n + 50, dtype=np.int64), side, passages.LIST, passages.CLASSES, passages.HEADS)
+    sure = code & 1 == 1
     assert set(zip(u[sure].tolist(), v[sure].tolist(), strict=True)) == {(n - 50 + k, n + k) for k in range(50)}
 
 
+@pytest.mark.parametrize("copies", [5, 17, 200])
+def test_near_copies_of_a_passage(spark, copies):
+    passage, texts = prose(71, 60, 10**6), []
+    for k in range(copies):
+        own, near = prose(70_000 + k, 60, 10**6), list(passage)
+        near[7 + k % 2], near[52 - k % 3] = f"x{k}", f"y{k}"  # any two differ by 4 words at most
+        texts.append(" ".join(own[:30] + near + own[30:]))
+    rows = passages.repeated_passages(documents(spark, texts)).collect()
+    linked = {r.doc_id for r in rows} | {r.other_id for r in rows}
+    assert len(linked) >= 0.98 * copies
+    tokens = [common.rolling(common.WordHashes().of([w.encode() for w in t.split()]), passages.WIDTH) for t in texts]
+    for r in rows:
+        a, b = (set(tokens[d][s : s + n - 4].tolist()) for d, s, n in ((r.doc_id, r.start, r.n_words), (r.other_id, r.other_start, r.other_n_words)))
+        assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.75
+
+
+def test_best_window():
+    rng = random.Random(4)
+    for case in range(200):
+        size = 10_000 if case % 2 else 30
+        a = np.array([rng.randrange(size) for _ in range(24)], dtype=np.uint32)
+        b = a.copy()
+        b[[rng.randrange(24) for _ in range(5)]] = [rng.randrange(size, 2 * size) for _ in range(5)]
+        got = passages.best_window(a, b, 0, 14, 10)[1]
+        assert abs(got - max(len(set(a[k : k + 10]) & set(b[k : k + 10])) / len(set(a[k : k + 10]) | set(b[k : k + 10])) for k in range(15))) < 1e-9
+
+
 def test_passages_around_a_frequent_phrase(spark):
     texts, want = [], set()
     for k in range(40):
