@@ -371,9 +371,8 @@ def found_by_functions(a, b, functions):
     for f in range(functions):
         places = []
         for t in both:
-            out = ([], [], [])
-            passages.compact_windows(passages.ranks(t, passages._SEEDS[f]), 0, len(t), least, out)
-            places.append([(t[c], c, ((c - l) << 32) | (r - c)) for l, c, r in zip(*out, strict=True)])
+            l, c, r, _ = passages.compact_windows(passages.ranks(t, passages._SEEDS[f]), np.array([0]), np.array([len(t)]), least)
+            places.append([(t[k], k, ((k - a) << 32) | (b - k)) for a, k, b in zip(l.tolist(), c.tolist(), r.tolist(), strict=True)])
         met += [((c << 32) | d, x, y, 2 * f) for h, c, x in places[0] for g, d, y in places[1] if h == g]
     if not met:
         return False
@@ -399,7 +398,7 @@ def test_sides_of_a_long_list():
     start = np.concatenate((start, n * (2 * reach + 1) + np.arange(50) * (2 * reach + 1)))
     side = passages.sides(tokens, start + reach, start, start + 2 * reach + 1)
     ids = np.arange(n + 50)
-    u, v, *_, code = passages.listed_pairs(np.zeros(n + 50, dtype=np.int64), ids, np.full(n + 50, reach), np.zeros(n + 50, dtype=np.int64), side, passages.LIST, passages.CLASSES, passages.HEADS)
+    (u, v, *_, code), _ = passages.listed_pairs(np.zeros(n + 50, dtype=np.int64), ids, np.full(n + 50, reach), np.zeros(n + 50, dtype=np.int64), side, passages.LIST, passages.HEADS)
     sure = code & 1 == 1
     assert set(zip(u[sure].tolist(), v[sure].tolist(), strict=True)) == {(n - 50 + k, n + k) for k in range(50)}
 
@@ -420,6 +419,27 @@ def test_near_copies_of_a_passage(spark, copies):
         assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.75
 
 
+def test_compact_windows():
+    rng = np.random.default_rng(3)
+    for case in range(60):
+        sizes = rng.integers(0, 60, 5) * (case % 3 > 0) + rng.integers(0, 12, 5)
+        ends = np.cumsum(sizes)
+        rank = rng.permutation(int(ends[-1])).astype(np.uint64)
+        want = set()
+
+        def node(a, b, doc):  # the Cartesian tree, by its definition
+            if b - a >= 7:
+                c = a + int(rank[a:b].argmin())
+                want.add((a, c, b - 1, doc))
+                node(a, c, doc)
+                node(c + 1, b, doc)
+
+        for doc, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+            node(end - size, end, doc)
+        got = passages.compact_windows(rank, ends - sizes, ends, 7)
+        assert set(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
 def test_best_window():
     rng = random.Random(4)
     for case in range(200):
@@ -427,8 +447,9 @@ def test_best_window():
         a = np.array([rng.randrange(size) for _ in range(24)], dtype=np.uint32)
         b = a.copy()
         b[[rng.randrange(24) for _ in range(5)]] = [rng.randrange(size, 2 * size) for _ in range(5)]
-        got = passages.best_window(a, b, 0, 14, 10)[1]
-        assert abs(got - max(len(set(a[k : k + 10]) & set(b[k : k + 10])) / len(set(a[k : k + 10]) | set(b[k : k + 10])) for k in range(15))) < 1e-9
+        got = passages.Windows(a, b, 10).best(0, 14, 0.5)[1]
+        want = max(len(set(a[k : k + 10]) & set(b[k : k + 10])) / len(set(a[k : k + 10]) | set(b[k : k + 10])) for k in range(15))
+        assert abs(got - want) < 1e-9 if want >= 0.5 else got == 0
 
 
 def test_passages_around_a_frequent_phrase(spark):
