@@ -14,10 +14,10 @@ SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 LEVEL = 3
 CHUNK = 4096
-#: (bytes up to which it holds, least ratio, greatest ratio) of compressed to plain size: short texts compress less, so their band lies higher.
-BANDS = ((256, 0.45, 1.10), (1024, 0.40, 0.95), (4096, 0.38, 0.80), (16384, 0.33, 0.70), (float("inf"), 0.28, 0.65))
-#: The band of a full chunk, and the share of full chunks that may lie outside.
-CHUNK_BAND, CHUNK_SHARE = (0.25, 0.85), 0.34
+#: (bytes up to which it holds, least ratio, greatest ratio) of compressed to plain size: short texts compress less, so their band lies higher. The least ratios are what 99.5 % of the texts labelled good reach, in the half of labelled rows with an even id.
+BANDS = ((256, 0.64, 1.10), (512, 0.55, 0.90), (1024, 0.51, 0.85), (2048, 0.475, 0.75), (4096, 0.447, 0.70), (8192, 0.425, 0.65), (16384, 0.41, 0.62), (float("inf"), 0.395, 0.60))
+#: The band of a chunk, and the share of chunks that may lie outside.
+CHUNK_BAND, CHUNK_SHARE = (0.435, 0.85), 0.34
 COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, ratio double, n_chunks bigint, n_bad_chunks bigint"
 
 
