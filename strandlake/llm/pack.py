@@ -205,7 +205,10 @@ def packed_matrices(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_
         held = 0
         for batch in batches:
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(coder.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u2")
+                ids = np.append(coder.encode_to_numpy(text or "", disallowed_special=()), end_id)
+                if ids.max() >= 1 << 16:
+                    raise ValueError("ids need more than 16 bits")
+                ids = ids.astype("<u2")
                 parts.extend((name, k, at, ids[at : at + length]) for k, at in enumerate(range(0, len(ids), length)))
                 held += len(ids)
                 if held >= held_tokens:
