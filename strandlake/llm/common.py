@@ -24,8 +24,8 @@ BROADCAST_BYTES = 64 << 20
 #: Words whose hash a worker keeps; the memory is emptied when it is full.
 WORD_CACHE = 150_000
 
-#: Rows of a batch that are turned into Python objects at once.
-SLICE = 1000
+#: Rows of a batch, and about how many bytes, that are turned into Python objects at once.
+SLICE, SLICE_BYTES = 1000, 8 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,14 +118,16 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` for what runs inside: rows that carry whole texts or sets need little memory so."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """Arrow batches of at most ``rows`` and SLICE_BYTES for what runs inside: rows that carry whole texts or sets need little memory so."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": SLICE_BYTES}
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def sized(keys: DataFrame) -> DataFrame:
@@ -185,8 +187,9 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     def run(batches):
         one = make()
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                got = one(batch.slice(k, SLICE))
+            step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for k in range(0, batch.num_rows, step):
+                got = one(batch.slice(k, step))
                 if isinstance(got, pa.RecordBatch):
                     yield got
                 elif got is not None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import as_bytes, map_arrow, mixed, split_words
 
 #: Labelled rows that the model is fitted on, at most about so many. It keeps every word and n-gram of theirs.
-FIT_ROWS = 10_000
+FIT_ROWS = 5_000
 #: Lengths of n-grams for unseen words, in order.
 GRAMS = (4, 3, 2, 1)
 #: Words whose scores a worker keeps.

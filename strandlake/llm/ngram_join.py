@@ -31,7 +31,7 @@ LIST = 128
 #: Rows of a long column that one copy of those outside its main component meets.
 BLOCK = 4096
 #: Partners in a block of the second product, and their items that a task holds.
-PARTNERS, HELD = 256, 4_000_000
+PARTNERS, HELD = 256, 1_000_000
 #: Words of 64 marks of a set.
 MARKS = 4
 
