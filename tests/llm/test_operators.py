@@ -2,14 +2,18 @@
 
 import collections
 import hashlib
+import html
 import itertools
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from strandlake.llm import common, decontaminate, html_text, language, lines, ngram_join, pack, passages, quality, tokens
@@ -203,6 +207,34 @@ def test_quality(spark):
 FUZZ = [None, "", " ", "a" * 300, " " * 90 + "x", "it's we'll\n\n  don't <|endoftext|>end<|endoftext|>", "Ünïcödé … ﬁ İß 12345 ½ été, naïve!", "x<|endo", "   　tab\t\x0bvt"]
 
 
+def verdict(text):
+    """The bands of quality rules, by their definition: whole text, and chunks of 4096 bytes, the last of which ends with the text."""
+    data = (text or "").encode()
+    size = lambda part: len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(part)) / len(part)
+    words = data.split()
+    runs = collections.Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    repeated = {k + j for k in range(len(words) - 7) if runs[tuple(words[k : k + 8])] > 1 for j in range(8)}
+    if len(words) < 20 or 100 * len(repeated) > 30 * len(words):
+        return False
+    chunks = [data[k : k + 4096] for k in range(0, len(data), 4096)] if len(data) >= 4096 else []
+    if chunks and len(chunks[-1]) < 4096:
+        chunks[-1] = data[-4096:]
+    bad = sum(not quality.CHUNK_BAND[0] <= size(c) <= quality.CHUNK_BAND[1] for c in chunks)
+    low, high = next((a, b) for n, a, b in quality.BANDS if len(data) <= n)
+    return low <= size(data) <= high and bad <= quality.CHUNK_SHARE * len(chunks)
+
+
+def test_quality_verdict(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = [None, "", " ".join(prose(1, 19)), " ".join(prose(2, 4000, 10**6)), "word " * 3000, " ".join(prose(3, 700, 30)), "".join(map(chr, np.random.default_rng(1).integers(33, 0x2FF, 9000)))]
+    rows = [*((r.doc_id, r.text) for r in docs.collect()), *((-1 - k, t) for k, t in enumerate(extra))]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: verdict(t) for i, t in rows} and 20 < sum(got.values()) < len(rows)
+    held = docs.join(spark.read.parquet(f"{DATA}/sf0.001/labels.parquet").where("doc_id % 2 = 1"), "doc_id").collect()
+    good = [r for r in held if r.quality == 1 and len(r.text or "") > 200]
+    assert sum(got[r.doc_id] for r in good) >= 0.95 * len(good)
+
+
 def test_spliced_equals_whole():
     tok = tokens.load(tokens.tokenizer_path("byte_bpe_50k.json"))
     rng = random.Random(3)
@@ -309,6 +341,87 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+LONG = "The first part of it is the one that has a lot of the words of a language in it, and so it is long enough to be kept by what it is, you see, and that is it."
+MORE = "And the second part of it is the one that has a lot of other words of a language in it, so it is long enough to be kept by what it is, you see, and more."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<nav><a href=/>Home</a></nav><div class="layout has-sidebar"><article><h1>Head</h1><p>{LONG}</p></article></div>', f"Head\n{LONG}"),
+        (f'<nav><a href=/>Home</a></nav><div class="no-sidebar"><h1>Head</h1><p>{LONG}</p></div>', f"Head\n{LONG}"),
+        (f'<form id=page action="/x"><h1>Head</h1><p>{LONG}</p><p>{MORE}</p></form>', f"Head\n{LONG}\n{MORE}"),
+        (f"<article><p data-x=it's>{LONG}</p><p>{MORE}</p></article>", f"{LONG}\n{MORE}"),
+        (f'<article><p>{LONG} <span class="ad">Buy now</span> more</p></article>', f"{LONG} more"),
+        (f'<div><p>{LONG}</p><p>{MORE}</p></div><article class=teaser><h2>Also</h2><p>Short one.</p></article>', f"{LONG}\n{MORE}"),
+        (f"<article><h1>H</h1><p>{LONG}</p></article><div id=comments>{f'<p>{MORE}</p>' * 3}</div>", f"H\n{LONG}"),
+        (f'<div class="cookie-notice">{MORE}</div><p>{LONG}</p>', LONG),
+        ("<p>" * 3000 + LONG, LONG),
+    ],
+)
+def test_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_pages_against_their_articles():
+    """Words of the generated pages' article elements, cut out by a plainer way."""
+    rows = duckdb.sql(f"SELECT html FROM read_parquet('{DATA}/sf0.01/pages.parquet') WHERE html IS NOT NULL").fetchall()
+    got, want, common = 0, 0, 0
+    for (page,) in rows:
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)
+        text = re.sub(r"<[a-zA-Z/][^>]*>", "", re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", article[1])) if article else ""
+        a, b = collections.Counter(html_text.main_text(page).split()), collections.Counter(html.unescape(text).split())
+        got, want, common = got + a.total(), want + b.total(), common + (a & b).total()
+    assert common >= 0.999 * got and common >= 0.999 * want
+
+
+def test_language_of_held_out_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    found = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred != 'und'").collect()
+    assert len(found) > 100 and sum(r.lang == r.lang_pred for r in found) >= 0.99 * len(found)
+
+
+def test_backoff_by_definition():
+    counts = [(0, "abc", "x", 3), (0, "abc", "y", 1), (0, "zed", "y", 2)]
+    for n in language.GRAMS:
+        for word, lang, c in (("abc", "x", 3), ("abc", "y", 1), ("zed", "y", 2)):
+            framed = f"^{word}$" if n > 1 else word
+            counts += [(n, framed[k : k + n], lang, c) for k in range(len(framed) - n + 1)]
+    table = collections.defaultdict(lambda: collections.Counter())
+    for n, entry, lang, c in counts:
+        table[n, entry][lang] += c
+
+    def score(n, entry):
+        sizes = [sum(v[lang] for (m, _), v in table.items() if m == n) for lang in "xy"]
+        entries = sum(m == n for m, _ in table)
+        return np.array([np.log((table[n, entry][lang] + 0.5) / (t + 0.5 * (entries + 1))) for lang, t in zip("xy", sizes, strict=True)])
+
+    def run(word):
+        if (0, word) in table:
+            return score(0, word)
+        for n in language.GRAMS:
+            framed = f"^{word}$" if n > 1 else word
+            hits = [score(n, g) for g in (framed[k : k + n] for k in range(len(framed) - n + 1)) if (n, g) in table]
+            if hits:
+                return np.mean(hits, axis=0)
+        return np.zeros(2)
+
+    rows = [(n, int((language.run_keys([e]) if n == 0 else language.mixed(np.array([_gram(e)], dtype=np.uint64)))[0]), lang, c) for (n, e), v in table.items() for lang, c in v.items()]
+    n, key, lang, c = zip(*rows, strict=True)
+    model = language.Model(np.array(n), np.array(key, dtype=np.uint64), np.array(lang, dtype=object), np.array(c))
+    words = ["abc", "zed", "abz", "ab", "z", "q", "edab"]
+    for word, got in zip(words, model.run_scores(words), strict=True):
+        want = run(word)
+        assert np.allclose(got, want - want.max()), word
+
+
+def _gram(entry):
+    h = len(entry)
+    for c in entry:
+        h = (h * 0x110003 + ord(c)) & (2**64 - 1)
+    return h
+
+
 def test_language(spark):
     words = {"xx": ["alpha", "beta", "gamma", "delta"], "yy": ["uno", "dos", "tres", "cuatro"]}
     rng = random.Random(2)
@@ -358,10 +471,18 @@ def test_empty_and_clashing(spark):
     path = tokens.tokenizer_path("word_bpe_49k.json")
     for df in (quality.quality(empty), ngram_join.ngram_components(empty), lines.removed_lines(empty), passages.repeated_passages(empty), pack.packed_documents(empty, path), language.languages(empty), decontaminate.contamination(empty, bench), lines.without_later_matches(empty), ngram_join.one_of_each(empty), decontaminate.without_contaminated(empty, bench)):
         assert df.count() == 0
+    byte_path, ranks = tokens.tokenizer_path("byte_bpe_50k.json"), tokens.tokenizer_path("byte_bpe_50k.tiktoken")
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert tokens.token_counts(empty, byte_path).count() == pack.packed_matrices(empty, ranks).count() == html_text.extracted(pages).count() == quality.kept_only(empty).count() == 0
     odd = documents(spark, ["a b c", "a b c", None], [5, 5, None]).withColumnsRenamed({"lang": "h", "source": "p", "n_chars": "node"}).withColumn("component", F.lit(1)).withColumn("id", F.lit("x"))
     assert ngram_join.ngram_components(odd).count() == 3 and lines.without_later_matches(odd).columns == odd.columns
     assert ngram_join.one_of_each(odd).count() == 3
     assert pack.packed_documents(odd, path).count() == 3 and passages.repeated_passages(odd).count() == 0
+    clash = documents(spark, ["a b c", "a b c", None], [5, 5, None]).withColumnsRenamed({"lang": "kept", "source": "n_tokens", "n_chars": "sequence_id"}).withColumns({"n_words": F.lit(1), "length": F.lit("x"), "item": F.lit(2), "items": F.lit(3)})
+    assert quality.quality(clash).count() == tokens.token_counts(clash, byte_path).count() == 3 and quality.kept_only(clash).columns == clash.columns
+    assert sorted(x for r in pack.packed_matrices(clash, ranks).collect() for x in r.doc_ids if x is not None) == [5, 5]
+    some = spark.createDataFrame([("i", "a b c", 1)], "item_id string, text string, doc_id int")
+    assert decontaminate.contamination(clash, some).count() == 3 and decontaminate.without_contaminated(clash, some).columns == clash.columns
 
 
 def found_by_functions(a, b, functions):
