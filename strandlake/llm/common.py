@@ -9,10 +9,10 @@ import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Bytes of its Parquet files up to which it is broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Words whose hash a worker keeps; the memory is emptied when it is full.
-WORD_CACHE = 150_000
-
 #: Rows of a batch, and about how many bytes, that are turned into Python objects at once.
 SLICE, SLICE_BYTES = 1000, 8 << 20
 
@@ -149,19 +146,6 @@ def split_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-class WordHashes(dict):
-    """Stable 64-bit hash of each word, kept for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that scatters its argument."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -181,6 +165,68 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out + np.uint64(width))
 
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_STEP = 0x9E3779B97F4A7C15
+_UNSTEP = pow(_STEP, -1, 1 << 64)
+#: Bytes of text whose words are hashed at once.
+HASHED = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.empty(n, dtype=np.uint64)
+    out[0] = 1
+    done = 1
+    while done < n:  # doubling
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+        done += more
+    return out
+
+
+@cache
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_STEP, n), _powers(_UNSTEP, n)
+
+
+#: A number for each byte; A-Z have those of a-z.
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LETTERS[ord("A") : ord("Z") + 1] = _LETTERS[ord("a") : ord("z") + 1]
+
+
+def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Stable 64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z as a-z; null has none.
+
+    All words of a run of texts are hashed together: the sum of their letters'
+    numbers, each times a power for its place, is a difference of running sums.
+    """
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or b"") < HASHED):
+            size += len(texts[end] or b"") + 1
+            end += 1
+        data = np.frombuffer(b"\n".join([*(t or b"" for t in texts[at:end]), b""]), dtype=np.uint8)
+        up, down = _tables(max(HASHED, 1 << (len(data) - 1).bit_length()))
+        blank = _BLANK[data]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if len(data) and not blank[0]:
+            edge = np.concatenate(([0], edge))
+        starts, ends = edge[0::2], edge[1::2]  # the last byte is blank
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * up[: len(data)], dtype=np.uint64)))
+        hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        borders = np.searchsorted(starts, np.cumsum([len(t or b"") + 1 for t in texts[at:end]]))
+        out += np.split(hashes, borders[:-1])
+        at = end
+    return out
+
+
+def shingles(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Hashes of the ``width``-word runs of each text, in order; fewer words are one run, none give none."""
+    return [rolling(h, width) for h in word_hashes(texts)]
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function made once in each task."""
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WordHashes, as_bytes, components, map_arrow, rolling, scratch, sized, small_batches, split_words, stored
+from strandlake.llm.common import SLICE, as_bytes, components, map_arrow, scratch, shingles, sized, small_batches, stored
 
 WIDTH = 5
 #: Two sets link when NUM / DEN <= intersection / union.
@@ -36,9 +36,9 @@ PARTNERS, HELD = 256, 1_000_000
 MARKS = 4
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word runs; fewer words are one run, none give an empty set."""
-    return np.unique(rolling(hashes.of(split_words(text.lower())), width)) if text else np.empty(0, np.uint64)
+def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct hashes of the ``width``-word runs of each text; fewer words are one run, none give an empty set."""
+    return [np.unique(x) for x in shingles(texts, width)]
 
 
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
@@ -52,7 +52,7 @@ def heavy_shingles(rows: DataFrame, width: int, limit: int) -> np.ndarray:
     """The most frequent shingles among those met twice in a task's share, rarest first. They only set an order, so a bound on their number loses nothing."""
 
     def run(batches):
-        hashes, held, total = WordHashes(), [], 0
+        held, total = [], 0
 
         def flush():
             shingles, n = np.unique(np.concatenate(held), return_counts=True)
@@ -60,9 +60,9 @@ def heavy_shingles(rows: DataFrame, width: int, limit: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
 
         for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                held.append(shingle_set(text, hashes, width))
-                total += len(held[-1])
+            for k in range(0, batch.num_rows, SLICE):
+                held += shingle_sets(as_bytes(batch.column("text").slice(k, SLICE)), width)
+                total = sum(map(len, held))
                 if total >= COUNTED:
                     yield from flush()
                     held, total = [], 0
@@ -89,7 +89,7 @@ def signatures(rows: DataFrame, heavy: np.ndarray, width: int, num: int, den: in
     held = rows.sparkSession.sparkContext.broadcast((heavy[by_value], by_value.astype(np.uint64)))
 
     def make():
-        hashes, (values, ranks) = WordHashes(), held.value
+        values, ranks = held.value
 
         def prefix(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             p, _ = prefix_length(len(s), num, den)
@@ -103,7 +103,7 @@ def signatures(rows: DataFrame, heavy: np.ndarray, width: int, num: int, den: in
             return s[first[~often]].view(np.int64), s[first[often]].view(np.int64)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, hashes, width) for t in as_bytes(batch.column("text"))]
+            sets = shingle_sets(as_bytes(batch.column("text")), width)
             parts = [prefix(s) if len(s) else (s.view(np.int64), s.view(np.int64)) for s in sets]
             put = np.stack([marks(s) for s in sets])
             columns = {"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64())}
@@ -263,14 +263,10 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             """The pairs that link: the product over all columns, in blocks of a row and its partners."""
 
             def make():
-                hashes = WordHashes()
-
                 def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-                    sets = {}
-                    for node, t in zip(batch.column("node").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                        if node not in sets:
-                            sets[node] = shingle_set(t, hashes, width).tobytes()
-                    return pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], names=["node", "s"])
+                    texts = dict(zip(batch.column("node").to_pylist(), as_bytes(batch.column("text")), strict=True))
+                    sets = [s.tobytes() for s in shingle_sets(list(texts.values()), width)]
+                    return pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(sets, pa.binary())], names=["node", "s"])
 
                 return one
 

@@ -51,6 +51,22 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_word_hashes():
+    texts = [None, "", "  ", "a", "A b", "a  B\tc\n", " Zoo zoo ", "é É\u00a0x", "x" * 3000, "a\x0bb\x0cc\rd", "word " * 500]
+    got = common.word_hashes([None if t is None else t.encode() for t in texts])
+    seen = {}
+    for t, hashes in zip(texts, got, strict=True):
+        words = (t or "").encode().lower().split()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    many = [" ".join(prose(k, 400, 10**6)).encode() for k in range(400)]
+    together, alone = common.word_hashes(many), [common.word_hashes([t])[0] for t in many]
+    assert all((x == y).all() for x, y in zip(together, alone, strict=True))
+    assert len(set(np.concatenate(alone).tolist())) == len({w for t in many for w in t.split()})
+
+
 def closure(n, links):
     root = list(range(n))
 
@@ -488,7 +504,7 @@ def test_empty_and_clashing(spark):
 def found_by_functions(a, b, functions):
     """Whether texts a and b meet by the min-hashes alone, without words beside a token."""
     least, met = passages.WORDS - passages.WIDTH + 1, []
-    both = [common.rolling(common.WordHashes().of([w.encode() for w in t]), passages.WIDTH) for t in (a, b)]
+    both = [common.shingles([" ".join(t).encode()], passages.WIDTH)[0] for t in (a, b)]
     for f in range(functions):
         places = []
         for t in both:
@@ -519,7 +535,7 @@ def test_sides_of_a_long_list():
     start = np.concatenate((start, n * (2 * reach + 1) + np.arange(50) * (2 * reach + 1)))
     side = passages.sides(tokens, start + reach, start, start + 2 * reach + 1)
     ids = np.arange(n + 50)
-    (u, v, *_, code), _ = passages.listed_pairs(np.zeros(n + 50, dtype=np.int64), ids, np.full(n + 50, reach), np.zeros(n + 50, dtype=np.int64), side, passages.LIST, passages.HEADS)
+    (u, v, *_, code), *_ = passages.listed_pairs(np.zeros(n + 50, dtype=np.int64), ids, np.full(n + 50, reach), np.zeros(n + 50, dtype=np.int64), side, passages.LIST, passages.HEADS)
     sure = code & 1 == 1
     assert set(zip(u[sure].tolist(), v[sure].tolist(), strict=True)) == {(n - 50 + k, n + k) for k in range(50)}
 
@@ -534,7 +550,7 @@ def test_near_copies_of_a_passage(spark, copies):
     rows = passages.repeated_passages(documents(spark, texts)).collect()
     linked = {r.doc_id for r in rows} | {r.other_id for r in rows}
     assert len(linked) >= 0.98 * copies
-    tokens = [common.rolling(common.WordHashes().of([w.encode() for w in t.split()]), passages.WIDTH) for t in texts]
+    tokens = [x for x in common.shingles([t.encode() for t in texts], passages.WIDTH)]
     for r in rows:
         a, b = (set(tokens[d][s : s + n - 4].tolist()) for d, s, n in ((r.doc_id, r.start, r.n_words), (r.other_id, r.other_start, r.other_n_words)))
         assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.75
@@ -568,7 +584,7 @@ def test_best_window():
         a = np.array([rng.randrange(size) for _ in range(24)], dtype=np.uint32)
         b = a.copy()
         b[[rng.randrange(24) for _ in range(5)]] = [rng.randrange(size, 2 * size) for _ in range(5)]
-        got = passages.Windows(a, b, 10).best(0, 14, 0.5)[1]
+        got = passages.windows(a, b, 10).best(0, 14, 0.5)[1]
         want = max(len(set(a[k : k + 10]) & set(b[k : k + 10])) / len(set(a[k : k + 10]) | set(b[k : k + 10])) for k in range(15))
         assert abs(got - want) < 1e-9 if want >= 0.5 else got == 0
 
