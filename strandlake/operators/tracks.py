@@ -7,8 +7,11 @@ long contig is not one task.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,32 +28,68 @@ def dense_positions(df: DataFrame, key: str, order: list[str], block: Column, na
     return rows.join(offsets, [key, "__block"]).withColumn(name, (F.col("__before") + inside).cast("bigint")).drop("__block", "__before")
 
 
-def with_frame(df: DataFrame, key: str, pos: str, half: int, expression, block: int = BLOCK) -> DataFrame:
-    """``df`` with columns from ``expression(window)``, a frame of ``half`` rows to both sides."""
+def _dealt(df: DataFrame, pos: str, half: int, block: int) -> DataFrame:
+    """``df`` dealt to blocks of ``block`` positions, with the ``half`` rows around each repeated: __block, and __own, the block a row belongs to."""
     first, last = F.floor((F.col(pos) - 1 - half) / block), F.floor((F.col(pos) - 1 + half) / block)
-    halo = df.withColumn("__own", F.floor((F.col(pos) - 1) / block)).withColumn("__block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    window = Window.partitionBy(key, "__block").orderBy(pos).rowsBetween(-half, half)
-    return halo.withColumns(expression(window)).where("__own = __block").drop("__own", "__block")
+    return df.withColumn("__own", F.floor((F.col(pos) - 1) / block)).withColumn("__block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+
+
+def sliding_medians(values: np.ndarray, width: int) -> np.ndarray:
+    """Median of the ``width`` values around each place that has them, NaN for others; NaN values don't count. One sorted list slides along, so a wide window costs hardly more."""
+    half, n = width // 2, len(values)
+    out, held = np.full(n, np.nan), sorted(values[: min(width, n)][~np.isnan(values[: min(width, n)])].tolist())
+    for k in range(half, n - half):
+        if held:
+            m = len(held) // 2
+            out[k] = held[m] if len(held) % 2 else (held[m - 1] + held[m]) / 2
+        if k + half + 1 < n:
+            if (old := values[k - half]) == old:
+                del held[bisect_left(held, old)]
+            if (new := values[k + half + 1]) == new:
+                insort(held, new)
+    return out
 
 
 def running_median(df: DataFrame, key: str, pos: str, value: str, width: int, name: str = "rm", block: int = BLOCK) -> DataFrame:
-    """Median of ``width`` (odd) rows around each; the first and last ``width // 2`` rows keep their value."""
+    """Median of ``width`` (odd) rows around each; the first and last ``width // 2`` rows keep their value. Null values don't count, a window of nulls gives null."""
     if width % 2 == 0:
         raise ValueError("the width of a running median must be odd")
     half = width // 2
+    dealt = _dealt(df.select(key, pos, F.col(value).cast("double").alias("__v")), pos, half, max(block, width))
 
-    def columns(w: Window) -> dict[str, Column]:
-        return {name: F.when(F.count("*").over(w) == width, F.percentile(value, F.lit(0.5)).over(w)).otherwise(F.col(value).cast("double"))}
+    def medians(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(pos)
+        mine = (rows["__own"] == rows["__block"]).to_numpy()
+        found = sliding_medians(rows["__v"].to_numpy(dtype=float, na_value=np.nan), width)
+        place, last = np.arange(len(rows)), len(rows) - 1
+        full = (place >= half) & (place <= last - half)
+        return pd.DataFrame({key: rows[key].to_numpy()[mine], pos: rows[pos].to_numpy()[mine], "__m": found[mine], "__full": full[mine]})
 
-    return with_frame(df, key, pos, half, columns, block)
+    kinds = f"{key} {df.schema[key].dataType.simpleString()}, {pos} {df.schema[pos].dataType.simpleString()}, __m double, __full boolean"
+    found = dealt.groupBy(key, "__block").applyInPandas(medians, kinds)
+    found = found.withColumnsRenamed({key: "__k", pos: "__p"})
+    joined = df.join(found, F.col(key).eqNullSafe(F.col("__k")) & (F.col(pos) == F.col("__p")))
+    return joined.withColumn(name, F.when(F.col("__full"), F.nanvl("__m", F.lit(None).cast("double"))).otherwise(F.col(value).cast("double"))).drop("__k", "__p", "__m", "__full")
 
 
-def moving_average(df: DataFrame, key: str, pos: str, value: str, width: int, name: str = "ma", block: int = BLOCK) -> DataFrame:
-    """Mean of full windows of ``width`` (odd) rows around each; null at the edges."""
-    def columns(w: Window) -> dict[str, Column]:
-        return {name: F.when(F.count("*").over(w) == width, F.avg(value).over(w))}
+def framed_sums(df: DataFrame, key: str, pos: str, half: int, values: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """``df`` with the sums of ``values`` (never null), and __n, over ``half`` rows to both sides, from differences of running sums: a wide window costs no more than a narrow one."""
+    own = Window.partitionBy(key, "__block").orderBy(pos)
+    halo = _dealt(df, pos, half, max(block, 2 * half + 1)).withColumns({f"__r_{name}": F.sum(v).over(own.rowsBetween(Window.unboundedPreceding, 0)) for name, v in (values | {"__n": F.lit(1)}).items()})
+
+    def framed(name: str) -> Column:
+        run = F.col(f"__r_{name}")
+        return F.coalesce(F.lead(run, half).over(own), F.last(run).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) - F.coalesce(F.lag(run, half + 1).over(own), F.lit(0))
 
-    return with_frame(df, key, pos, width // 2, columns, block)
+    out = halo.withColumns({name: framed(name) for name in (*values, "__n")})
+    return out.where("__own = __block").drop("__own", "__block", *(f"__r_{name}" for name in (*values, "__n")))
+
+
+def moving_average(df: DataFrame, key: str, pos: str, value: str, width: int, name: str = "ma", block: int = BLOCK) -> DataFrame:
+    """Mean of full windows of ``width`` (odd) rows around each, of the values that aren't null; null at the edges."""
+    known = F.col(value).isNotNull()
+    rows = framed_sums(df, key, pos, width // 2, {"__s": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "__c": known.cast("int")}, block)
+    return rows.withColumn(name, F.when(F.col("__n") == width, F.col("__s") / F.nullif(F.col("__c"), F.lit(0)))).drop("__s", "__c", "__n")
 
 
 def zscores(df: DataFrame, value: str, rm: str, mu: float, sigma: float, low: float) -> DataFrame:

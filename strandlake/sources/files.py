@@ -18,9 +18,15 @@ def lines(spark: SparkSession, path: str, separator: str | None = None) -> DataF
 
 
 def carried(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` of lines with the last non-null ``value`` at or before each line of a file."""
-    order = Window.partitionBy("file").orderBy("block", "at")
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """``df`` of lines with the last non-null ``value`` at or before each line of a file. Lines are sorted within the block that a task reads; what earlier blocks hand on is a row each."""
+    marked = df.withColumn("__v", value)
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = marked.where(F.col("__v").isNotNull()).groupBy(F.col("file").alias("__f"), F.col("block").alias("__b")).agg(F.max_by("__v", "at").alias("__e"))
+    blocks = marked.select(F.col("file").alias("__f"), F.col("block").alias("__b")).distinct().join(ends, ["__f", "__b"], "left")
+    before = blocks.withColumn("__before", F.last("__e", ignorenulls=True).over(Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__e")
+    rows = marked.withColumn("__own", F.last("__v", ignorenulls=True).over(inside))
+    joined = rows.join(before, (F.col("file") == F.col("__f")) & (F.col("block") == F.col("__b")))
+    return joined.withColumn(name, F.coalesce("__own", "__before")).drop("__v", "__own", "__f", "__b", "__before")
 
 
 def fields(df: DataFrame, names: list[str], pattern: str = "\t", limit: int = -1) -> DataFrame:
