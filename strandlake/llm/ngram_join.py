@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import SLICE, as_bytes, components, map_arrow, scratch, shingles, sized, small_batches, stored
@@ -33,7 +33,9 @@ BLOCK = 4096
 #: Partners in a block of the second product, and their items that a task holds.
 PARTNERS, HELD = 256, 1_000_000
 #: Words of 64 marks of a set.
-MARKS = 4
+MARKS = 8
+#: Partners, of those whose marks allow most, that a row is multiplied with in each of so many rounds; what these leave apart is multiplied in full.
+BEST, ROUNDS = 3, 2
 
 
 def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -163,15 +165,21 @@ def block_product(h: np.ndarray, node: np.ndarray, n: np.ndarray, most: int, num
     return tuple(np.concatenate(x) for x in ((node[a], node[start[long]]), (node[b], node[long]), (np.minimum(n[a], n[b]), n[long]), (common, np.full(len(long), -1))))
 
 
-def marks_allow(num: int, den: int) -> Column:
-    """Whether rows x and y (n, marks) can link: each mark that one has alone stands for an item that it has alone."""
+def _left_of(p: str, q: str) -> Column:
+    """Bound of the items of row p that q has too: each mark that p has alone stands for an item that it has alone."""
+    alone = sum((F.bit_count(F.col(f"{p}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.b{k}")))) for k in range(MARKS)), F.lit(0))
+    return F.col(f"{p}.n") - alone
+
 
-    def alone(p: str, q: str) -> Column:
-        return sum((F.bit_count(F.col(f"{p}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.b{k}")))) for k in range(MARKS)), F.lit(0))
+def most_common() -> Column:
+    """Bound of the items that rows x and y (n, marks) share."""
+    return F.least(_left_of("x", "y"), _left_of("y", "x"))
 
+
+def marks_allow(num: int, den: int) -> Column:
+    """Whether rows x and y can link, by their sizes and the marks of x: den * common >= num * (n + m - common). Kept short, so that it is compiled."""
     n, m = F.col("x.n"), F.col("y.n")
-    most = F.least(n - alone("x", "y"), m - alone("y", "x"))
-    return den * most >= num * (n + m - most)
+    return (num * n <= den * m) & (num * m <= den * n) & ((den + num) * _left_of("x", "y") >= num * (n + m))
 
 
 def row_products(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -283,7 +291,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         with small_batches(docs.sparkSession):
             # at first each row with the smallest of its partners: most links lie within what these join
-            chains = candidates.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+            chains = stored(candidates.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "chains")
             links = stored(linked(chains), "links")
             joined = components(links)
 
@@ -292,21 +300,35 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 found = joined.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
                 return df.join(sized(found), name, "left").withColumn(f"{name}_in", F.coalesce(f"{name}_in", name))
 
-            rest = placed(placed(candidates, "u"), "v").where("u_in != v_in").select("u", "v").join(sized(chains), ["u", "v"], "left_anti")
-
-            # long columns: rows outside the first row's component with all rows of other components
-            members = placed(placed(stars.union(stars.select("u", F.col("u").alias("v"))).distinct(), "u"), "v")
-            open_heads = members.groupBy("u").agg(F.min("v_in").alias("a"), F.max("v_in").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("a != b").select("u", "blocks")
-            members = stored(members.join(sized(open_heads), "u").join(nodes.select(F.col("node").alias("v"), *traits), "v"), "members")
-            x = members.where("v_in != u_in").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("x")
-            y = members.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).alias("y")
-            meets = (F.col("x.u") == F.col("y.u")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.v_in") != F.col("y.v_in")) & ((F.col("y.v_in") == F.col("y.u_in")) | (F.col("x.v") < F.col("y.v")))
-            fits = num * F.greatest("x.n", "y.n") <= den * F.least("x.n", "y.n")
-            crossing = x.join(y, meets & fits & marks_allow(num, den)).select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v")).distinct()
-            crossing = crossing.join(candidates, ["u", "v"], "left_anti")
-
-            links = stored(links.union(linked(rest.union(crossing).distinct())), "links")
-            joined = components(links)
+            described = nodes.select("node", F.struct(*traits).alias("t"))
+
+            def apart() -> DataFrame:
+                """u, v, most: pairs of different components that may link and were not multiplied so far; most bounds what they share."""
+                both = placed(placed(candidates, "u"), "v").where("u_in != v_in").select("u", "v")
+                both = both.join(described.withColumnsRenamed({"node": "u", "t": "x"}), "u").join(described.withColumnsRenamed({"node": "v", "t": "y"}), "v")
+                met = both.where(marks_allow(num, den)).select("u", "v", most_common().alias("most"))
+                # long columns: rows outside the first row's component with all rows of other components
+                members = placed(placed(stars.union(stars.select("u", F.col("u").alias("v"))).distinct(), "u"), "v")
+                open_heads = members.groupBy("u").agg(F.min("v_in").alias("a"), F.max("v_in").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("a != b").select("u", "blocks")
+                members = stored(members.join(sized(open_heads), "u").join(nodes.select(F.col("node").alias("v"), *traits), "v"), "members")
+                x = members.where("v_in != u_in").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("x")
+                y = members.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).alias("y")
+                meets = (F.col("x.u") == F.col("y.u")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.v_in") != F.col("y.v_in")) & ((F.col("y.v_in") == F.col("y.u_in")) | (F.col("x.v") < F.col("y.v")))
+                crossing = x.join(y, meets & marks_allow(num, den)).select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v"), most_common().alias("most"))
+                return met.union(crossing).distinct().join(asked, ["u", "v"], "left_anti")
+
+            asked = chains
+            for k in range(ROUNDS + 1):
+                pairs = apart()
+                if k < ROUNDS:  # links join rows fast, so that few pairs are left to be multiplied in full
+                    by_most = Window.partitionBy("v").orderBy(F.desc("most"), "u")
+                    pairs = pairs.withColumn("place", F.row_number().over(by_most)).where(F.col("place") <= BEST)
+                pairs = stored(pairs.select("u", "v"), "pairs")
+                if pairs.isEmpty():
+                    break
+                links = stored(links.union(linked(pairs)), "links")
+                joined = components(links)
+                asked = asked.union(pairs)
         members = joined.join(nodes.select("node", "rep"), "node")
         least = members.groupBy("component").agg(F.min("rep").alias("least"))
         named = nodes.select("node", "rep").join(sized(members.join(sized(least), "component").select("node", "least")), "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
