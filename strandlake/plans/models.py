@@ -22,10 +22,10 @@ def mixture_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT l_returnflag AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, CAST(floor(l_partkey / 10) AS BIGINT) AS b FROM lineitem),
- c AS (SELECT chrom, strand, b, count(*) AS c FROM t GROUP BY ALL), g AS (SELECT chrom, s, b FROM (SELECT DISTINCT chrom FROM t), range(0, 4) x(s), range(0, 300) y(b)),
+ c AS (SELECT chrom, strand, b, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT chrom, greatest(300, max(b) + 1)::DOUBLE AS n FROM t GROUP BY chrom), g AS (SELECT d.chrom, s, b FROM (SELECT DISTINCT chrom FROM t) d, range(0, 4) x(s), range(0, (SELECT greatest(300, max(b) + 1) FROM t)) y(b), n WHERE n.chrom = d.chrom AND b < n),
  v AS (SELECT g.chrom, g.s, coalesce(p.c, 0) AS x, coalesce(m.c, 0) AS y FROM g LEFT JOIN c p ON p.chrom = g.chrom AND p.b = g.b AND p.strand = '+' LEFT JOIN c m ON m.chrom = g.chrom AND m.b = g.b + g.s AND m.strand = '-'),
  k AS (SELECT chrom, sum(c) FILTER (strand = '+') AS p1, sum(c * c) FILTER (strand = '+') AS p2, sum(c) FILTER (strand = '-') AS m1, sum(c * c) FILTER (strand = '-') AS m2 FROM c GROUP BY chrom)
- SELECT chrom, s::INTEGER AS shift, round((sum(x * y) / 300.0 - first(p1) / 300.0 * first(m1) / 300.0) / nullif(sqrt((first(p2) / 300.0 - pow(first(p1) / 300.0, 2)) * (first(m2) / 300.0 - pow(first(m1) / 300.0, 2))), 0), 6) AS correlation FROM v JOIN k USING (chrom) WHERE p1 IS NOT NULL AND m1 IS NOT NULL GROUP BY chrom, s""")
+ SELECT chrom, s::INTEGER AS shift, round((sum(x * y) / first(n) - first(p1) / first(n) * first(m1) / first(n)) / nullif(sqrt((first(p2) / first(n) - pow(first(p1) / first(n), 2)) * (first(m2) / first(n) - pow(first(m1) / first(n), 2))), 0), 6) AS correlation FROM v JOIN k USING (chrom) JOIN n USING (chrom) WHERE p1 IS NOT NULL AND m1 IS NOT NULL GROUP BY chrom, s""")
 def strand_cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chrom"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), F.col("l_partkey").alias("pos"))
     lengths = tags.groupBy("chrom").agg(F.greatest(F.lit(300), F.max(F.floor(F.col("pos") / 10)) + 1).alias("bins"))  # 300 as in the SQL, more where the contig is longer
