@@ -158,7 +158,9 @@ def quality_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(quality.clamped_phred(p)).alias("sanger"), r6(quality.clamped_solexa(p)).alias("solexa"), r6(quality.normal_density(F.col("l_tax"), 0.04, 0.02)).alias("density"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity + l_linenumber + l_suppkey % 9 + l_partkey % 7 >= 20 AND l_suppkey % 9 >= 2 AND l_partkey % 7 >= 2 AND (l_suppkey % 9 + l_partkey % 7) / nullif(l_quantity + l_linenumber + l_suppkey % 9 + l_partkey % 7, 0) >= 0.3 AS valid FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, kept FROM (SELECT l_orderkey, l_linenumber, CASE WHEN pol THEN d[3] + d[4] >= 30 AND d[3] >= 3 AND d[4] >= 3 AND coalesce(d[3] / nullif(d[1] + d[3], 0), 0) >= 0.4 AND coalesce(d[4] / nullif(d[2] + d[4], 0), 0) >= 0.4 ELSE d[1] + d[2] >= 30 AND d[1] >= 3 AND d[2] >= 3 AND coalesce(d[1] / nullif(d[1] + d[3], 0), 0) >= 0.4 AND coalesce(d[2] / nullif(d[2] + d[4], 0), 0) >= 0.4 END OR d IS NULL AS kept FROM (SELECT *, l_linenumber % 2 = 0 AS pol, CASE WHEN l_linenumber <> 7 THEN [l_quantity, l_suppkey, l_partkey % 40, l_orderkey % 30] END AS d FROM lineitem))")
 def dp4_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dp4 = F.array(F.col("l_quantity"), F.col("l_linenumber").cast("double"), (F.col("l_suppkey") % 9).cast("double"), (F.col("l_partkey") % 7).cast("double"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", variants.valid_dp4(dp4, 20, 2, 0.3, F.lit(True)).alias("valid"))
+    c = F.col
+    dp4 = F.when(c("l_linenumber") != 7, F.array(c("l_quantity"), c("l_suppkey").cast("double"), (c("l_partkey") % 40).cast("double"), (c("l_orderkey") % 30).cast("double")))
+    kept = variants.valid_dp4(dp4, 30, 3, 0.4, c("l_linenumber") % 2 == 0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kept.alias("kept"))
