@@ -4,8 +4,11 @@ import collections
 import hashlib
 import html
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -13,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
-from conftest import DATA
+from conftest import DATA, ROOT
 from pyspark.sql import functions as F
 
 from strandlake.llm import common, decontaminate, html_text, language, lines, ngram_join, pack, passages, quality, tokens
@@ -607,3 +610,30 @@ def test_quality_of_the_end():
     junk = "".join(random.Random(9).choice("qwertzuiopasdfghjklyxcvbnm ") for _ in range(10)) * 350  # repeats itself: a chunk of it packs to almost nothing
     (*_, kept, ratio, n, bad), (*_, short, _, n_short, _) = packer(pa.array([text + junk, text[:3000]]))
     assert (n, bad, kept, n_short) == (2, 1, False, 0)
+
+
+def test_stored_tables_go(tmp_path):
+    """Nothing stays in the shared folder, also if the session ends before the driver."""
+    code = f"""
+import sys; sys.path[:0] = [{str(ROOT)!r}, {str(ROOT / "tests")!r}]
+from strandlake import session
+from strandlake.llm import ngram_join
+spark = session.build('t', **{{'spark.master': 'local[2]', 'spark.sql.shuffle.partitions': '2', 'spark.ui.enabled': 'false', 'spark.checkpoint.dir': 'file://{tmp_path}/shared'}})
+docs = spark.createDataFrame([(k, 'a b c d e f g' + ' x' * (k // 2)) for k in range(9)], 'doc_id bigint, text string')
+assert ngram_join.ngram_components(docs).count() == 9
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True)
+    assert [p.name for p in (tmp_path / "shared").iterdir() if re.fullmatch(r"[a-z]+-[0-9a-f]{32}", p.name)] == []  # Spark makes a folder of its own
+
+
+def test_a_cluster_names_its_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
