@@ -28,12 +28,12 @@ HEAVY = 200_000
 COUNTED = 8_000_000
 #: Rows of one column up to which all its pairs are counted.
 LIST = 128
-#: Rows of a long column that one copy of those outside its main component meets.
-BLOCK = 4096
+#: Rows of a long column that one copy of those outside its main component meets, and of the latter at once.
+BLOCK, PART = 2048, 256
 #: Partners in a block of the second product, and their items that a task holds.
 PARTNERS, HELD = 256, 1_000_000
-#: Words of 64 marks of a set.
-MARKS = 8
+#: Words of 64 marks of a set by which pairs are sifted in a join; marks by which rows of long columns are held against each other.
+MARKS, MANY_MARKS = 8, 4096
 #: Partners, of those whose marks allow most, that a row is multiplied with in each of so many rounds; what these leave apart is multiplied in full.
 BEST, ROUNDS = 3, 2
 
@@ -75,14 +75,14 @@ def heavy_shingles(rows: DataFrame, width: int, limit: int) -> np.ndarray:
     return found.select("h").toArrow().column("h").to_numpy().view(np.uint64)[::-1]
 
 
-def marks(s: np.ndarray) -> np.ndarray:
-    """Bits that the items of a set put on, in MARKS words."""
-    put = np.zeros(64 * MARKS, dtype=bool)
-    put[s & np.uint64(64 * MARKS - 1)] = True
-    return np.packbits(put).view(np.int64)
+def marks(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of the ``bits`` that the items of a set put on."""
+    put = np.zeros(bits, dtype=bool)
+    put[s & np.uint64(bits - 1)] = True
+    return np.packbits(put)
 
 
-SIGNATURES = "id bigint, n bigint, th bigint, node bigint, light array<bigint>, heavy array<bigint>, " + ", ".join(f"b{k} bigint" for k in range(MARKS))
+SIGNATURES = "id bigint, n bigint, th bigint, node bigint, light array<bigint>, heavy array<bigint>, marks binary, " + ", ".join(f"b{k} bigint" for k in range(MARKS))
 
 
 def signatures(rows: DataFrame, heavy: np.ndarray, width: int, num: int, den: int) -> DataFrame:
@@ -107,11 +107,12 @@ def signatures(rows: DataFrame, heavy: np.ndarray, width: int, num: int, den: in
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(as_bytes(batch.column("text")), width)
             parts = [prefix(s) if len(s) else (s.view(np.int64), s.view(np.int64)) for s in sets]
-            put = np.stack([marks(s) for s in sets])
+            put = np.stack([marks(s, 64 * MARKS).view(np.int64) for s in sets])
             columns = {"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64())}
             columns["th"] = batch.column("th")
             columns["node"] = pa.array([signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None for s in sets], pa.int64())
             columns |= {name: _lists([p[k] for p in parts]) for k, name in enumerate(("light", "heavy"))}
+            columns["marks"] = pa.array([marks(s, MANY_MARKS).tobytes() for s in sets], pa.binary())
             return pa.RecordBatch.from_pydict(columns | {f"b{k}": pa.array(put[:, k]) for k in range(MARKS)})
 
         return one
@@ -182,6 +183,53 @@ def marks_allow(num: int, den: int) -> Column:
     return (num * n <= den * m) & (num * m <= den * n) & ((den + num) * _left_of("x", "y") >= num * (n + m))
 
 
+def crossing_pairs(dealt: DataFrame, best: int | None, num: int, den: int) -> DataFrame:
+    """u, v, most: rows of different components in a block of a long column that may link by their sizes and marks, most bounding what they share; with ``best``, so many for each row that asks.
+
+    ``dealt``: u, block, asks, v, inside (its component), n, marks, sorted; rows that
+    ask are those outside the main component, and meet all of the block. Common
+    marks are a product of the bits; marks that a row has alone stand for items
+    that it has alone.
+    """
+
+    def run(batches):
+        key, rows = None, []
+
+        def meet():
+            ask, names, inside, n, bits = (np.array(c) for c in zip(*((r[0], r[1], r[2], r[3], k) for k, r in enumerate(rows)), strict=True))
+            put = np.unpackbits(np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+            total = put.sum(axis=1)
+            asking, others = np.flatnonzero(ask), np.flatnonzero(~ask)
+            for part in (asking[k : k + PART] for k in range(0, len(asking), PART)):
+                common = put[part] @ put[others].T
+                a, b = n[part][:, None], n[others][None, :]
+                most = np.minimum(a - (total[part][:, None] - common), b - (total[others][None, :] - common))
+                good = sizes_fit(a, b, num, den) & ((den + num) * most >= num * (a + b)) & (inside[part][:, None] != inside[others][None, :])
+                i, j = np.nonzero(good)
+                value = most[i, j].astype(np.int64)
+                if best is not None and len(i):
+                    order = np.lexsort((names[others[j]], -value, i))
+                    i, j, value = i[order], j[order], value[order]
+                    first = np.searchsorted(i, i, side="left")
+                    keep = np.arange(len(i)) - first < best
+                    i, j, value = i[keep], j[keep], value[keep]
+                if len(i):
+                    one, two = names[part[i]], names[others[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(value)], names=["u", "v", "most"])
+
+        for batch in batches:
+            for u, block, *row in zip(*(batch.column(c).to_pylist() for c in ("u", "block", "asks", "v", "inside", "n", "marks")), strict=True):
+                if key != (u, block):
+                    if rows:
+                        yield from meet()
+                    key, rows = (u, block), []
+                rows.append(row)
+        if rows:
+            yield from meet()
+
+    return dealt.mapInArrow(run, "u bigint, v bigint, most bigint")
+
+
 def row_products(blocks: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) of blocks of rows; ``blocks``: u, salt, v, s, sorted: the set of u (v null), then those of its partners."""
 
@@ -302,7 +350,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
             described = nodes.select("node", F.struct(*traits).alias("t"))
 
-            def apart() -> DataFrame:
+            def apart(best: int | None) -> DataFrame:
                 """u, v, most: pairs of different components that may link and were not multiplied so far; most bounds what they share."""
                 both = placed(placed(candidates, "u"), "v").where("u_in != v_in").select("u", "v")
                 both = both.join(described.withColumnsRenamed({"node": "u", "t": "x"}), "u").join(described.withColumnsRenamed({"node": "v", "t": "y"}), "v")
@@ -310,16 +358,19 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 # long columns: rows outside the first row's component with all rows of other components
                 members = placed(placed(stars.union(stars.select("u", F.col("u").alias("v"))).distinct(), "u"), "v")
                 open_heads = members.groupBy("u").agg(F.min("v_in").alias("a"), F.max("v_in").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("a != b").select("u", "blocks")
-                members = stored(members.join(sized(open_heads), "u").join(nodes.select(F.col("node").alias("v"), *traits), "v"), "members")
-                x = members.where("v_in != u_in").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("x")
-                y = members.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).alias("y")
-                meets = (F.col("x.u") == F.col("y.u")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.v_in") != F.col("y.v_in")) & ((F.col("y.v_in") == F.col("y.u_in")) | (F.col("x.v") < F.col("y.v")))
-                crossing = x.join(y, meets & marks_allow(num, den)).select(F.least("x.v", "y.v").alias("u"), F.greatest("x.v", "y.v").alias("v"), most_common().alias("most"))
-                return met.union(crossing).distinct().join(asked, ["u", "v"], "left_anti")
+                members = stored(members.join(sized(open_heads), "u"), "members")
+                described_in_full = whole.select("node", "n", "marks").join(sized(members.select(F.col("v").alias("node")).distinct()), "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "v")
+                members = members.join(described_in_full, "v")
+                columns = ("v", F.col("v_in").alias("inside"), "n", "marks")
+                x = members.where("v_in != u_in").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("u", "block", F.lit(True).alias("asks"), *columns)
+                y = members.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).select("u", "block", F.lit(False).alias("asks"), *columns)
+                dealt = x.union(y).repartition("u", "block").sortWithinPartitions("u", "block")
+                crossing = crossing_pairs(dealt, best, num, den)
+                return met.union(crossing).groupBy("u", "v").agg(F.max("most").alias("most")).join(asked, ["u", "v"], "left_anti")
 
             asked = chains
             for k in range(ROUNDS + 1):
-                pairs = apart()
+                pairs = apart(BEST if k < ROUNDS else None)
                 if k < ROUNDS:  # links join rows fast, so that few pairs are left to be multiplied in full
                     by_most = Window.partitionBy("v").orderBy(F.desc("most"), "u")
                     pairs = pairs.withColumn("place", F.row_number().over(by_most)).where(F.col("place") <= BEST)
