@@ -66,9 +66,9 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.consensus(_frequencies(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_DNA}, m AS (SELECT doc_id, string_split_regex(s, '(?:AC){{3,}}') AS p, regexp_extract_all(s, '(?:AC){{3,}}') AS m FROM dna WHERE s IS NOT NULL), k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM m),
+ a AS (SELECT doc_id, list_sum(list_transform(p[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0) AS a, m[k] AS match FROM k) SELECT doc_id, a::BIGINT AS "start", (a + length(match))::BIGINT AS "end", match FROM a""")
 def regex_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches with offsets; a unit test holds them against re."""
     return scans.regex_scan(dna(spark, sf_dir), "doc_id", "s", "(?:AC){3,}")
 
 
