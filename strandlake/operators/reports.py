@@ -162,8 +162,8 @@ def populations(df: DataFrame, position: str, bases: list[str], least: float) ->
 
 
 def called_deletions(df: DataFrame, ref: str, alt: str, score: str, depth: str, least_score: float, least_depth: float) -> DataFrame:
-    """Calls that replace more letters than they give, of at least the score and depth."""
-    return df.where((F.length(ref) > F.length(alt)) & (F.col(score) >= least_score) & (F.col(depth) >= least_depth))
+    """Calls against an assembly whose alternate is longer than its reference, letters that the assembly has lost, of at least the score and depth."""
+    return df.where((F.length(alt) > F.length(ref)) & (F.col(score) >= least_score) & (F.col(depth) >= least_depth))
 
 
 def pair_differences(calls: DataFrame, site: list[str], sample: str, value: str, tolerance: float = 0.3, relative: float = 1e-5) -> DataFrame:

@@ -153,7 +153,7 @@ def base_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey FROM part WHERE length(p_type) > length(p_name) AND p_size >= 20 AND p_retailprice >= 1000")
 def called_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.called_deletions(table(spark, sf_dir, "part"), "p_type", "p_name", "p_size", "p_retailprice", 20, 1000).select("p_partkey")
+    return reports.called_deletions(table(spark, sf_dir, "part"), "p_name", "p_type", "p_size", "p_retailprice", 20, 1000).select("p_partkey")
 
 
 _CALLS = "c AS (SELECT l_partkey AS pos, l_returnflag AS sample, max(l_quantity) AS ao, max(l_extendedprice) / 500 AS dp, max(l_suppkey) AS qual FROM lineitem GROUP BY ALL)"

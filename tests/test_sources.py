@@ -99,3 +99,24 @@ def test_mpileup(spark, tmp_path):
     (tmp_path / "m").write_text("c\t1\tA\t5\t^I.,+2ACg$*-1tT\tIIIII\n")
     r = alignments.mpileup(spark, str(tmp_path / "m")).first()
     assert (r.n_a, r.n_g, r.n_t, r.n_del) == (2, 1, 1, 1)
+
+
+def test_small_reports(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("-----\nBin Id  x\n-----\n  s1   k__Bacteria (UID203)   5449   104   58   0  104  0  0  0  0   100.00   0.50   0.00  \n----\n")
+    (tmp_path / "a.txt").write_text(">c1 x\n2 genes found\n1   tRNA-Ala   [10,82]   35.5   (tgc)\n2   tRNA-Leu   c[100,180]   34.0   (caa)\n>c2\n0 genes found\n")
+    (tmp_path / "r.gff").write_text("##gff-version2\nx\tRNAmmer-1.2\trRNA\t5\t90\t59.3\t+\t.\t8s_rRNA\t\n")
+    (tmp_path / "g.txt").write_text(">s1\nStart\tEnd\tSequence\tLength\tScore\tNBR\n5 \t 30 \t GGG \t 25 \t 1.2\n40 \t 70 \t CCC \t 30 \t -1.5 \t 2\n")
+    (tmp_path / "i.txt").write_text("track x\n#c\nvariableStep\n1\t9\t1\t0\t0\t0\t0\t0\n2\t1\t0\t0\t0\t0\t0\t0\n")
+    (tmp_path / "x.gfa").write_text("H\tVN:Z:1.0\nS\tu1\tACGT\tLN:i:4\tdp:i:12\nS\tu2\tAC\nL\tu1\t+\tu2\t-\t2M\n")
+    (tmp_path / "t.nwk").write_text("((a:1,b:2):0.5,c:3);")
+    m = reports.completeness(spark, str(tmp_path / "m.txt")).first()
+    assert (m["sample"], m.marker_lineage, m.n_markers, m.completeness, m.contamination) == ("s1", "k__Bacteria (UID203)", 104, 100, 0.5)
+    assert [(r.contig, r.kind, r.start, r.length, r.strand) for r in reports.transfer_rnas(spark, str(tmp_path / "a.txt")).orderBy("start").collect()] == [("c1", "tRNA-Ala", 10, 72, "+"), ("c1", "tRNA-Leu", 100, 80, "-")]
+    r = reports.ribosomal_rnas(spark, str(tmp_path / "r.gff")).first()
+    assert (r.chrom, r.stop, r.score, r.attributes) == ("x", 90, 59.3, "8s_rRNA")
+    assert [(r["name"], r.end, r.score, r.nbr) for r in reports.quadruplexes(spark, str(tmp_path / "g.txt")).orderBy("start").collect()] == [("s1", 30, 1.2, None), ("s1", 70, -1.5, 2)]
+    assert [(r.pos, r.a, r.n) for r in reports.base_counts(spark, str(tmp_path / "i.txt"), 5).orderBy("pos").collect()] == [(1, 9, 0), (2, 0, 10_000)]
+    segments, links = reports.assembly_graph(spark, str(tmp_path / "x.gfa"))
+    assert sorted(map(tuple, segments.collect())) == [("u1", 4, 12.0), ("u2", 2, None)] and tuple(links.first()) == ("u1", "+", "u2", "-", "2M")
+    t = reports.newick_distances(spark, str(tmp_path / "t.nwk")).first()
+    assert (t.leaves, round(t.mean, 6), round(t.variance, 6)) == (3, 4.333333, 1.055556)  # 3, 4.5 and 5.5
