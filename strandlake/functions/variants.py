@@ -79,3 +79,9 @@ def effect_fields(effect: Column) -> Column:
     inner = F.split(F.regexp_extract(effect, "\\((.*)\\)", 1), "\\|")
     names = ["impact", "functional_class", "codon_change", "amino_acid_change", "amino_acid_length", "gene"]
     return F.struct(F.regexp_extract(effect, "^([^(]*)", 1).alias("effect"), *(F.get(inner, F.lit(k)).alias(n) for k, n in enumerate(names)))
+
+
+def flattened(chrom: Column, pos: Column, ref: Column, alts: Column, depth: Column, qual: Column, alternates: Column, forward: Column, reverse: Column) -> Column:
+    """Struct of a call as a report has it: chr, position, depth, reference, alternatives by semicolons, score, frequencies and strand balances of the alternates with three decimals, and kind by the first alternate."""
+    three = lambda xs: F.array_join(F.transform(xs, lambda x: F.format_string("%.3f", x)), ";")
+    return F.struct(chrom.alias("chr"), pos.alias("position"), depth.alias("depth"), ref.alias("reference"), F.array_join(alts, ";").alias("alternative"), qual.alias("score"), three(frequencies(alternates, depth)).alias("frequency"), three(strand_balances(forward, reverse)).alias("strand_balance"), kind(ref, F.get(alts, F.lit(0))).alias("type"))

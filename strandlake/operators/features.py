@@ -105,3 +105,17 @@ def coding_blocks(blocks: Column, start: Column, end: Column) -> Column:
 def directon_name(seqid: Column, strand: Column, number: Column, start: Column, stop: Column) -> Column:
     """seqid_p1_start_stop, m on the minus strand."""
     return F.concat(seqid, F.lit("_"), F.when(strand == "+", "p").otherwise("m"), number.cast("string"), F.lit("_"), start.cast("string"), F.lit("_"), stop.cast("string"))
+
+
+def codons_at_ends(df: DataFrame, contigs: DataFrame, kind: str = "CDS") -> DataFrame:
+    """strand, end (start or stop), codon and n: the first and last codons of features, read on their own strand. Features of fewer than three letters go."""
+    cut = feature_sequences(df, contigs, [kind], F.struct("strand"), stranded=True).where(F.length("sequence") >= 3)
+    ends = F.array(F.struct(F.lit("start").alias("end"), F.left("sequence", F.lit(3)).alias("codon")), F.struct(F.lit("stop").alias("end"), F.right("sequence", F.lit(3)).alias("codon")))
+    return cut.select("id.strand", F.explode(ends).alias("x")).groupBy("strand", "x.end", "x.codon").agg(F.count("*").alias("n"))
+
+
+def shifted(df: DataFrame, shifts: DataFrame, width: int = 100_000) -> DataFrame:
+    """Features moved by the last shift (seqid, at, shift) at or before their start, and before their stop; 0 where there is none."""
+    moved = intervals.as_of(df, shifts, ["seqid"], "start", "at", "shift", width).withColumnRenamed("shift", "__a")
+    moved = intervals.as_of(moved, shifts, ["seqid"], "stop", "at", "shift", width).withColumnRenamed("shift", "__b")
+    return moved.withColumns({"start": F.col("start") + F.coalesce("__a", F.lit(0)), "stop": F.col("stop") + F.coalesce("__b", F.lit(0))}).drop("__a", "__b")

@@ -192,3 +192,18 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat("s_name", F.lit(";"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ";;;").otherwise(""))
     return table(spark, sf_dir, "supplier").select("s_suppkey", formats.comma_separated(line).alias("line"))
+
+
+@query(f"""WITH {_F}, {_CONTIGS}, cut AS (SELECT strand, CASE WHEN strand = '-' THEN {_RC.format('substr(s, "start", stop - "start" + 1)')} ELSE substr(s, "start", stop - "start" + 1) END AS s FROM f JOIN contigs USING (seqid) WHERE genetic_type = 'CDS'),
+ e AS (SELECT strand, 'start' AS "end", left(s, 3) AS codon FROM cut WHERE length(s) >= 3 UNION ALL SELECT strand, 'stop', right(s, 3) FROM cut WHERE length(s) >= 3) SELECT strand, "end", codon, count(*) AS n FROM e GROUP BY ALL""")
+def codons_at_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.codons_at_ends(annotation(spark, sf_dir), _contigs(spark, sf_dir))
+
+
+@query(f"""WITH {_F}, h AS (SELECT DISTINCT l_returnflag AS seqid, l_suppkey * 9 AS at_, l_suppkey % 5 - 2 AS shift FROM lineitem WHERE l_suppkey % 2 = 0), a AS (SELECT f.id, f.seqid, f."start", f.stop, h.shift AS x FROM f ASOF LEFT JOIN h ON f.seqid = h.seqid AND f."start" >= h.at_)
+ SELECT a.id, a."start" + coalesce(x, 0) AS "start", a.stop + coalesce(h.shift, 0) AS stop FROM a ASOF LEFT JOIN h ON a.seqid = h.seqid AND a.stop >= h.at_""")
+def shifted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_suppkey")
+    shifts = table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").select(F.col("l_returnflag").alias("seqid"), (k * 9).alias("at"), (k % 5 - 2).alias("shift")).distinct()
+    rows = annotation(spark, sf_dir).select("seqid", _id().alias("id"), "start", "stop")
+    return features.shifted(rows, shifts, 50).select("id", "start", "stop")

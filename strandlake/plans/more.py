@@ -164,3 +164,13 @@ def dp4_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     dp4 = F.when(c("l_linenumber") != 7, F.array(c("l_quantity"), c("l_suppkey").cast("double"), (c("l_partkey") % 40).cast("double"), (c("l_orderkey") % 30).cast("double")))
     kept = variants.valid_dp4(dp4, 30, 3, 0.4, c("l_linenumber") % 2 == 0)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kept.alias("kept"))
+
+
+@query("""SELECT l_returnflag AS chr, l_partkey AS position, l_quantity + 0.3 AS depth, 'A' AS reference, CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'CG;T' END AS alternative, l_suppkey AS score, CASE WHEN l_linenumber % 2 = 0 THEN printf('%.3f', 3 / (l_quantity + 0.3)) ELSE printf('%.3f;%.3f', 3 / (l_quantity + 0.3), 5 / (l_quantity + 0.3)) END AS frequency,
+ CASE WHEN l_linenumber % 2 = 0 THEN printf('%.3f', least(1.2, l_linenumber) / (1.2::DOUBLE + l_linenumber)) ELSE printf('%.3f;0.250', least(1.2, l_linenumber) / (1.2::DOUBLE + l_linenumber)) END AS strand_balance, CASE WHEN l_linenumber % 2 = 0 THEN 'snp' ELSE 'insertion' END AS type FROM lineitem""")
+def flattened_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, even = F.col, F.col("l_linenumber") % 2 == 0
+    cells = lambda a, b: F.when(even, F.array(a)).otherwise(F.array(a, b))
+    number = lambda x: F.lit(float(x))
+    call = variants.flattened(c("l_returnflag"), c("l_partkey"), F.lit("A"), F.when(even, F.array(F.lit("C"))).otherwise(F.array(F.lit("CG"), F.lit("T"))), c("l_quantity") + 0.3, c("l_suppkey"), cells(number(3), number(5)), cells(number(1.2), number(1)), cells(c("l_linenumber").cast("double"), number(3)))
+    return table(spark, sf_dir, "lineitem").select(call.alias("x")).select("x.*")
