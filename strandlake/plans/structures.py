@@ -43,7 +43,7 @@ def dna_flexibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("x").alias("n"), r6(F.array_max("x")).alias("greatest"), r6(F.array_min("x")).alias("least"))
 
 
-@query(f"""WITH {_DNA}, k AS (SELECT doc_id, i, substr(s, i, 3) AS w FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS i FROM dna WHERE length(s) >= 52)), o AS (SELECT doc_id, v.i AS i, k.w, count(*) AS c FROM (SELECT doc_id, i FROM k WHERE i % 50 = 1) v JOIN k USING (doc_id) WHERE k.i BETWEEN v.i AND v.i + 49 GROUP BY ALL),
+@query(f"""WITH {_DNA}, k AS (SELECT doc_id, i, substr(s, i, 3) AS w FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS i FROM dna WHERE length(s) >= 52)), o AS (SELECT doc_id, (i - 1) // 50 * 50 + 1 AS i, w, count(*) AS c FROM k GROUP BY ALL),
  e AS (SELECT doc_id, i, sum(c) AS n, -sum(c / 50.0 * log2(c / 50.0)) AS h FROM o GROUP BY ALL) SELECT doc_id, i - 1 AS "start", round(h, 6) AS entropy FROM e WHERE n = 50""")
 def word_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dna(spark, sf_dir).where("length(s) >= 52").select("doc_id", F.posexplode(structure.word_entropy(50)("s")).alias("start", "h"))
