@@ -84,13 +84,21 @@ def direction(log2_fc: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, name: str = "padj") -> DataFrame:
-    """Adjusted p-values: the least p * n / rank from here up, at most 1. Equal p-values are one row of the sorted table."""
-    n = df.where(F.col(p).isNotNull())
-    counts = n.groupBy(*keys, p).agg(F.count("*").alias("__c"))
-    up, down = Window.partitionBy(*keys).orderBy(p), Window.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__r", F.sum("__c").over(up)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
-    adjusted = ranked.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(down))).drop("__c", "__r", "__n")
-    return df.join(adjusted, [*keys, p], "left")
+    """Adjusted p-values: the least p * n / rank from here up, at most 1. Equal p-values are one row of the sorted table.
+
+    ``df`` is read once: a mean of doubles comes out otherwise by its last bits when
+    it is computed again, and p-values of two readings don't meet in a join.
+    """
+    equal = Window.partitionBy(*keys, p)
+    counted = df.withColumns({"__c": F.count(p).over(equal), "__i": F.row_number().over(equal.orderBy(p))})
+    lead = F.col("__i") == 1
+    # the first of each value stands in the sorted table, the others stay apart from it
+    rows = counted.withColumn("__apart", F.when(~lead, F.col(p)))
+    table = Window.partitionBy(*keys, lead, "__apart")
+    up, down = table.orderBy(p), table.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumns({"__r": F.sum("__c").over(up), "__n": F.sum("__c").over(table)})
+    adjusted = ranked.withColumn("__a", F.when(lead & F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.try_divide(F.col(p) * F.col("__n"), F.col("__r"))).over(down))))
+    return adjusted.withColumn(name, F.max("__a").over(equal)).drop("__c", "__i", "__apart", "__r", "__n", "__a")
 
 
 def trimmed(df: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:

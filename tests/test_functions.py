@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from fractions import Fraction
 from math import comb
 
@@ -114,6 +115,16 @@ def test_adjusted_p_values(spark):
         assert got[i] is None if p is None else math.isclose(got[i], min(1.0, min(q * 5 / max(j + 1 for j, x in enumerate(known) if x == q) for q in known if q >= p)))
 
 
+def test_adjusted_p_values_of_one_reading(spark):
+    other_each_time = F.udf(lambda i: random.random() if i % 7 else 0.25, "double").asNondeterministic()  # as means of doubles, by their last bits
+    df = spark.range(0, 60, 1, 3).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"), "id", other_each_time("id").alias("p"))
+    rows = tables.benjamini_hochberg(df, ["k"], "p").collect()
+    assert len({r.id for r in rows}) == len(rows) == 60
+    for r in rows:
+        known = sorted(x.p for x in rows if x.k == r.k)
+        assert math.isclose(r.padj, min(1.0, min(q * 30 / sum(x <= q for x in known) for q in known if q >= r.p)))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "k int, start bigint, end bigint")
     assert intervals.merged(empty, ["k"]).count() == intervals.depth(empty, ["k"]).count() == intervals.gaps(empty, ["k"]).count() == 0
