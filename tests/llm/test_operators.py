@@ -559,6 +559,51 @@ def test_near_copies_of_a_passage(spark, copies):
         assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.75
 
 
+def test_near_pairs_connect_all():
+    rng, least = np.random.default_rng(5), 46
+    base = rng.integers(0, 2**32, (12, 91), dtype=np.uint32)
+    base[6:, :40] = base[0, :40]  # families that share a part
+    base[9:, 60:75] = base[9:, 45:60]  # repeat a part
+    regions, centres = [], []
+    for k in range(120):
+        region = base[k % 12].copy()
+        region[rng.integers(0, 91, k % 23)] = rng.integers(0, 2**32, k % 23, dtype=np.uint32)
+        cut = int(rng.integers(0, 40)) if k % 4 == 0 else 0
+        regions.append(region[cut:])
+        centres.append(45 - cut)
+    ids, places = np.arange(120) // 2, np.arange(120) % 2 * 30 + 45  # two places of a text, too near to count
+    left, right = passages.near_pairs(regions, np.array(centres), ids, places, least, 0.75)
+    want, got = list(range(120)), list(range(120))
+
+    def join(group, a, b):
+        a, b = group[a], group[b]
+        group[:] = [min(a, b) if x in (a, b) else x for x in group]
+
+    for a in range(120):
+        for b in range(a + 1, 120):
+            i, j, x, y = centres[a], centres[b], regions[a], regions[b]
+            starts = [k for k in range(-45, 1) if min(i, j) + k >= 0 and i + k + least <= len(x) and j + k + least <= len(y)]
+            sets = [(set(x[i + k : i + k + least].tolist()), set(y[j + k : j + k + least].tolist())) for k in starts]
+            if ids[a] != ids[b] and any(len(u & v) >= 0.75 * len(u | v) for u, v in sets):
+                join(want, a, b)
+                assert (ids[a], places[a]) != (ids[b], places[b])
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        assert a < b and ids[a] != ids[b]
+        join(got, a, b)
+    assert got == want and 12 < len(set(want)) < 100
+
+
+def test_near_copies_in_a_wide_list(spark):
+    phrase, first, second = prose(31, 38, 10**6), [], []
+    for k in range(600):  # each text is like one other, far behind it; all share a phrase, which alone is too little
+        one, two, more = (prose(x + k, 45, 10**6) for x in (810_000, 820_000, 830_000))
+        changed = [*more[:7], f"x{k}", *more[8:16]]
+        first.append(" ".join(one[:20] + phrase + more[:16] + one[20:]))
+        second.append(" ".join(two[:20] + phrase + changed + two[20:]))
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(documents(spark, first + second)).collect()}
+    assert got <= {(k + 600, k) for k in range(600)} and len(got) >= 0.97 * 600
+
+
 def test_compact_windows():
     rng = np.random.default_rng(3)
     for case in range(60):
