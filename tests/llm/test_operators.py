@@ -593,6 +593,57 @@ def test_near_pairs_connect_all():
     assert got == want and 12 < len(set(want)) < 100
 
 
+@pytest.mark.parametrize("counted", [256, 3])
+def test_near_pairs_by_windows(monkeypatch, counted):
+    """Two words of bits to a token, repeated tokens, short surroundings; by all earlier rows, and by lists."""
+    monkeypatch.setattr(passages, "COUNTED", counted)
+    rng, least = np.random.default_rng(8), 70
+    base = rng.integers(0, 2**32, (9, 2 * least - 1), dtype=np.uint32)
+    base[3:6, 30:60] = base[3:6, 60:90]
+    base[6:] = base[6:, :1]
+    base[6:, 20:] = rng.integers(0, 2**32, (3, 2 * least - 21), dtype=np.uint32)
+    regions, centres = [], []
+    for k in range(90):
+        region = base[k % 9].copy()
+        region[rng.integers(0, len(region), 2 * (k % 17))] = rng.integers(0, 2**32, 2 * (k % 17), dtype=np.uint32)
+        cut, to = (int(rng.integers(0, least)), len(region)) if k % 3 == 0 else (0, len(region) - int(rng.integers(0, least)))
+        regions.append(region[cut:to])
+        centres.append(least - 1 - cut)
+    left, right = passages.near_pairs(regions, np.array(centres), np.arange(90), np.array(centres), least, 0.75)
+
+    def value(a, b):
+        return max((len(u & v) / len(u | v) for s in range(1 - least, 1) if all(centres[x] + s >= 0 and centres[x] + s + least <= len(regions[x]) for x in (a, b)) for u, v in [[set(regions[x][centres[x] + s : centres[x] + s + least].tolist()) for x in (a, b)]]), default=0)
+
+    want, got = list(range(90)), list(range(90))
+    for a in range(90):
+        for b in range(a + 1, 90):
+            if value(a, b) >= 0.75:
+                want[:] = [min(want[a], want[b]) if x in (want[a], want[b]) else x for x in want]
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        assert a < b and got[a] != got[b] and value(a, b) >= 0.75
+        got[:] = [min(got[a], got[b]) if x in (got[a], got[b]) else x for x in got]
+    assert got == want and 9 < len(set(want)) < 80
+
+
+def test_near_pairs_are_compared_at_once():
+    """Texts that share a phrase, but no similar window: the steps of the interpreter grow with them, not with their pairs."""
+    rng, n, calls = np.random.default_rng(9), 200, 0
+    regions = rng.integers(0, 2**32, (n, 91), dtype=np.uint32)
+    regions[:, 20:35] = regions[0, 20:35]
+    regions[:, 55:82] = regions[0, 55:82]  # 42 tokens in common, 27 of a window at most
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        left, _ = passages.near_pairs(list(regions), np.full(n, 45), np.arange(n), np.full(n, 45), 46, 0.75)
+    finally:
+        sys.setprofile(None)
+    assert len(left) == 0 and calls < 200 * n  # pair by pair: over a million
+
+
 def test_near_copies_in_a_wide_list(spark):
     phrase, first, second = prose(31, 38, 10**6), [], []
     for k in range(600):  # each text is like one other, far behind it; all share a phrase, which alone is too little
