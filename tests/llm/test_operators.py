@@ -676,6 +676,19 @@ def test_compact_windows():
         assert set(zip(*(x.tolist() for x in got), strict=True)) == want
 
 
+def test_nearest_lesser():
+    rng = np.random.default_rng(6)
+    for case in range(60):
+        n = int(rng.integers(1, 60))
+        text = np.sort(rng.integers(0, 4, n))
+        value = [rng.integers(0, 5, n), rng.permutation(n), np.arange(n), np.arange(n)[::-1]][case % 4].astype(np.uint64)
+        first, last = np.searchsorted(text, text), np.searchsorted(text, text, side="right")
+        before, behind = passages.nearest_lesser(value, first - 1, -1), passages.nearest_lesser(value, last, 1)
+        for k in range(n):
+            assert before[k] == max((j for j in range(first[k], k) if value[j] <= value[k]), default=first[k] - 1)
+            assert behind[k] == min((j for j in range(k + 1, last[k]) if value[j] < value[k]), default=last[k])
+
+
 def test_best_window():
     rng = random.Random(4)
     for case in range(200):
