@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from strandlake.llm.common import scratch, sized, stored
 
@@ -11,6 +12,8 @@ from strandlake.llm.common import scratch, sized, stored
 WIDTH, NUM, DEN = 5, 75, 100
 #: Lines of one list up to which it counts as rare; tokens of a set from which two, not one, must be met in the prefixes, which are longer by one for it.
 RARE, TWO_FROM = 50, 8
+#: Runs of a line that are hashed by compiled expressions, so many at once; those after them by a lambda, which Spark interprets.
+COMPILED, BLOCK = 128, 16
 
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
@@ -26,14 +29,28 @@ def words(line: Column) -> Column:
     return F.array_remove(F.when(odd, F.split(line, _BLANKS)).otherwise(F.split(line, " ")), "")
 
 
-def tokens(line: Column, width: int = WIDTH) -> Column:
-    """Sorted distinct hashes of the line's ``width``-word runs; fewer words are one run; none give an empty array."""
+def hashed(line: Column) -> Column:
+    """Hashes of the words of a line, in order."""
+    return F.transform(words(line), lambda word: F.xxhash64(word))
 
-    def runs(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width))))
 
-    hashed = bound(words(line), lambda w: F.when(F.size(w) >= width, runs(w)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    return F.sort_array(F.array_distinct(hashed))
+def tokens(hashes: str, width: int = WIDTH) -> Column:
+    """Sorted distinct hashes of the ``width``-word runs of a line, by the column of its words' hashes; fewer words are one run; none give an empty array.
+
+    No array here may hold nulls by its type, so that it is sorted as plain numbers.
+    The lambda also keeps the step out of whole-stage code, which would put all
+    runs into one method, too long to be compiled by the machine.
+    """
+    n = F.size(hashes)
+    none = F.array().cast(ArrayType(LongType(), False))
+
+    def run(i: Column | int) -> Column:
+        return F.xxhash64(*(F.get(hashes, i + k if isinstance(i, Column) else F.lit(i + k)) for k in range(width)))
+
+    blocks = [F.when(n >= at + width, F.array(*(run(at + k) for k in range(BLOCK)))).otherwise(none) for at in range(0, COMPILED, BLOCK)]
+    rest = F.when(n >= COMPILED + width, F.transform(F.sequence(F.lit(COMPILED), n - width), run)).otherwise(none)
+    runs = F.slice(F.concat(*blocks, rest), F.lit(1), n - width + 1)  # the last block goes beyond the line
+    return F.sort_array(F.array_distinct(F.when(n >= width, runs).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(none)))
 
 
 def marks(s: Column, half: int) -> Column:
@@ -72,19 +89,19 @@ def prefix_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
 
 def _worded(text: Column) -> Column:
     """Whether a text has a word, which null has not."""
-    return F.coalesce(text.rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+    return F.coalesce(F.ltrim(text, F.lit(" \t\n\x0b\f\r")) != "", F.lit(False))
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, keep) -> DataFrame:
     """id, th, n_lines, copies, removed and worded (numbers of lines) for each distinct row (id and text, whose hash is th) that has a word."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(_worded(F.col("text"))).withColumn("th", F.xxhash64("text"))
     broken = texts.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    tokenized = broken.withColumn("s", tokens(F.col("line"), width)).withColumn("n", F.size("s"))
+    tokenized = broken.select("id", "th", "no", hashed(F.col("line")).alias("h")).select("id", "th", "no", tokens("h", width).alias("s")).withColumn("n", F.size("s"))
     n = F.col("n")
     few = n < TWO_FROM
     prefix = F.when(n >= 3, F.slice("s", 1, (n - least_common(n, num, den) + F.when(few, 1).otherwise(2)).cast("int")))  # smaller sets match equal ones only
     node = F.xxhash64("s").bitwiseAND(~1).bitwiseOR(few.cast("bigint"))  # odd: a set of few
-    lines = stored(tokenized.select("id", "th", "no", "n", F.when(n > 0, node).alias("p"), F.when(n > 0, F.xxhash64("s", F.lit(1))).alias("q"), *(F.when(n >= 3, marks(F.col("s"), k)).alias(f"b{k}") for k in (0, 1)), prefix.alias("prefix")), "lines")
+    lines = stored(tokenized.select("id", "th", "no", "n", F.when(n > 0, node).alias("p"), F.when(n > 0, F.xxhash64("s", F.lit(1))).alias("q"), prefix.alias("prefix")), "lines")
     at = F.struct("id", "no", "th")
 
     posted = lines.where("prefix is not null").select("p", "n", F.posexplode("prefix").alias("i", "h"))
@@ -97,13 +114,20 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     needed = F.when((F.col("a") % 2 != 0) | (F.col("b") % 2 != 0), 1).otherwise(2)
     pairs = stored(lists.where("c = 2").select("a", "b").union(prefix_pairs(rare, num, den)).groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= needed).select("a", "b"), "pairs")
 
-    # what a pair is judged by before its sets are read: order, size and marks of its nodes
+    # what a pair is judged by: place, size, marks and set of its nodes
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("p")).union(many).distinct()
     known = lines.where("prefix is not null").join(sized(wanted), "p", "left_semi")
-    firsts = stored(known.groupBy("p").agg(F.min(at).alias("first"), F.min("n").alias("n"), F.min("b0").alias("b0"), F.min("b1").alias("b1")), "firsts")
+    firsts = stored(known.groupBy("p").agg(F.min(at).alias("first")), "firsts")
+    asked = firsts.groupBy(F.col("first.id").alias("of"), F.col("first.th").alias("of_th")).agg(F.collect_list(F.struct("first.no", "p")).alias("nos"))
+    found = texts.join(sized(asked), (F.col("th") == F.col("of_th")) & F.col("id").eqNullSafe(F.col("of")))
+    parts = bound(F.split("text", "\n"), lambda part: F.transform("nos", lambda x: F.struct(x["p"].alias("p"), x["no"].alias("no"), F.get(part, x["no"]).alias("line"))))
+    read = found.select("id", F.explode(parts).alias("x")).select("id", "x.no", "x.p", hashed(F.col("x.line")).alias("h")).select("id", "no", "p", tokens("h", width).alias("s"))
+    sets = stored(read.select("id", "no", "p", F.size("s").alias("n"), *(marks(F.col("s"), k).alias(f"b{k}") for k in (0, 1)), "s"), "sets")
+    if sets.count() > firsts.count():  # rows equal in id and text
+        sets = stored(sets.dropDuplicates(["p"]), "sets")
 
     def side(name: str) -> DataFrame:
-        return firsts.select(F.col("p").alias(name), F.struct("first.id", "first.no", "p", "n", "b0", "b1").alias(f"{name}_"))
+        return sets.select(F.col("p").alias(name), F.struct("id", "no", "p", "n", "b0", "b1").alias(f"{name}_"))
 
     def place(node: str) -> Column:
         return F.struct(F.col(f"{node}.id"), F.col(f"{node}.no"), F.col(f"{node}.p"))
@@ -115,15 +139,6 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     stars = hot.join(side("p").withColumnRenamed("p_", "a_"), "p").join(heads, "h").where((F.col("p") != F.col("b_.p")) & allowed).select(F.col("p").alias("later"), F.col("b_.p").alias("earlier"), place("b_").alias("first"))
     candidates = stored(met.union(stars).distinct(), "candidates")
 
-    wanted = candidates.select(F.explode(F.array("later", "earlier")).alias("p")).union(many).distinct()
-    places = stored(firsts.join(sized(wanted), "p", "left_semi").select("p", "first.id", "first.th", "first.no"), "places")
-    asked = places.groupBy(F.col("id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("no", "p")).alias("nos"))
-    found = texts.join(sized(asked), (F.col("th") == F.col("of_th")) & F.col("id").eqNullSafe(F.col("of")))
-    parts = bound(F.split("text", "\n"), lambda part: F.transform("nos", lambda x: F.struct(x["p"].alias("p"), F.get(part, x["no"]).alias("line"))))
-    sets = stored(found.select(F.explode(parts).alias("x")).select("x.p", tokens(F.col("x.line"), width).alias("s")).withColumn("n", F.size("s")), "sets")
-    if sets.count() > places.count():  # rows equal in id and text
-        sets = stored(sets.dropDuplicates(["p"]), "sets")
-
     def verified(c: DataFrame) -> DataFrame:
         """Later nodes of pairs that match."""
         c = stored(c, "asked")

@@ -159,6 +159,19 @@ def test_lines_of_repeated_and_missing_ids(spark):
     assert rows == [(0, 2, (1,)), (1, 1, ()), (5, 2, ()), (5, 2, (1,)), (9, 3, (0, 2)), (9, 3, (0, 2)), (9, 3, (2,))]
 
 
+def test_tokens_of_lines_of_all_lengths(spark):
+    edges = [lines.BLOCK, lines.COMPILED, lines.COMPILED + lines.BLOCK]
+    base = prose(77, 400, 12)
+    texts = [base[:k] for k in sorted({0, 1, 2, 4, 5, 6, 400, *(e + d for e in edges for d in range(3, 7))})] + [base[100:], ["a", "b"] * 90]
+    df = spark.createDataFrame([(" ".join(t) + " \t",) for t in texts], "line string").select(lines.hashed(F.col("line")).alias("h")).select(lines.tokens("h").alias("s"))
+    assert not df.schema["s"].dataType.containsNull  # arrays that may hold nulls are sorted as objects
+    got = [r.s for r in df.collect()]
+    want = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    assert all(s == sorted(set(s)) for s in got)
+    for s, w in zip(got, want, strict=True):
+        assert [len(s), *(len({*s} & {*other}) for other in got)] == [len(w), *(len(w & other) for other in want)]
+
+
 def test_a_very_long_line(spark):
     base = prose(91, 30_000, 10**6)
     texts = [" ".join(base), " ".join([*base[:29_000], "x", *base[29_001:]]), " ".join(base[15_000:]), "\n".join(["short line of seven words it is"] * 3000)]
