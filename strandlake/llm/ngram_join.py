@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import SLICE, as_bytes, components, map_arrow, scratch, shingles, sized, small_batches, stored
+from strandlake.llm.common import SLICE, as_bytes, components, map_arrow, renamed, scratch, shingles, sized, small_batches, stored
 
 WIDTH = 5
 #: Two sets link when NUM / DEN <= intersection / union.
@@ -345,8 +345,8 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
             def placed(df: DataFrame, name: str) -> DataFrame:
                 """``df`` with the component of its node ``name`` so far."""
-                found = joined.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
-                return df.join(sized(found), name, "left").withColumn(f"{name}_in", F.coalesce(f"{name}_in", name))
+                found = sized(renamed(joined, node=name, component=f"{name}_in"))
+                return df.join(found, name, "left").withColumn(f"{name}_in", F.coalesce(f"{name}_in", name))
 
             described = nodes.select("node", F.struct(*traits).alias("t"))
 
@@ -380,10 +380,10 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 links = stored(links.union(linked(pairs)), "links")
                 joined = components(links)
                 asked = asked.union(pairs)
-        members = joined.join(nodes.select("node", "rep"), "node")
-        least = members.groupBy("component").agg(F.min("rep").alias("least"))
-        named = nodes.select("node", "rep").join(sized(members.join(sized(least), "component").select("node", "least")), "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
-        named = keep(stored(named, "named"))
+        members = nodes.select("node", "rep").join(sized(joined), "node", "left")
+        least = members.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+        named = members.withColumn("component", F.coalesce("component", "node")).join(sized(least), "component", "left")
+        named = keep(stored(named.select("node", F.coalesce("least", "rep").alias("least")), "named"))
         keep(sigs)
     return sigs.select("id", "n", "node").join(sized(named), "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 

@@ -110,6 +110,28 @@ def test_ngram_join_of_a_repeated_id(spark):
     assert got == {(5, 5), (6, 5), (7, 5)}
 
 
+@pytest.mark.parametrize("rows, most", [(common.BROADCAST_ROWS, 2), (0, 100)])
+def test_components(spark, monkeypatch, rows, most):
+    """Long paths, stars, loops and null ends; a small graph takes no rounds, whatever its form."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    rng = random.Random(7)
+    names = rng.sample(range(-(10**6), 10**6), 400)
+    edges = [(k, k + 1) for k in range(150)] + [(200, k) for k in range(201, 260)] + [(rng.randrange(260, 400), rng.randrange(260, 400)) for _ in range(100)]
+    rows = [(names[a], names[b]) for a, b in edges] + [(names[3], names[1]), (10**7, 10**7), (10**7, None), (None, names[0])]
+    made, write = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: made.append(name) or write(df, name))
+    got = common.components(spark.createDataFrame(rows, "u bigint, v bigint")).collect()
+    root, parts = closure(400, edges), collections.defaultdict(list)
+    for k in {k for a, b in edges if a != b for k in (a, b)}:
+        parts[root[k]].append(names[k])
+    assert sorted((r.node, r.component) for r in got) == sorted((x, min(part)) for part in parts.values() for x in part)
+    assert len(made) <= most, made
+
+
+def test_components_of_no_edges(spark):
+    assert common.components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
 def matching_lines(texts):
     seen, out = [], []
     for t in texts:
