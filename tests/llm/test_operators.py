@@ -781,3 +781,18 @@ def test_a_cluster_names_its_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session)
+
+
+def test_near_passages_of_covered_members(spark):
+    """Of many copies of a passage one goes on with other words; another text has the passage's end and these, with one changed, which is like no other copy."""
+    texts, want = [], set()
+    for k in range(60):
+        passage, more = prose(91_000 + k, 60, 10**6), prose(92_000 + k, 12, 10**6)
+        for j in range(18):
+            own = prose(100_000 + 20 * k + j, 60, 10**6)
+            texts.append(" ".join(own[:30] + passage + (more if j == 17 else []) + own[30:]))
+        own = prose(100_000 + 20 * k + 18, 60, 10**6)
+        texts.append(" ".join(own[:30] + passage[22:] + more[:5] + ["x"] + more[6:] + own[30:]))
+        want.add((len(texts) - 1, len(texts) - 2))
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(documents(spark, texts)).collect()}
+    assert {x for x in got if x[0] % 19 == 18} == want
