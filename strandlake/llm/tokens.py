@@ -135,7 +135,7 @@ class PieceCounts(dict):
         """Token counts of whole texts."""
         pieces = [_PIECE.findall(t) if self.splits(t) else None for t in texts]
         rest = iter(self.library([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        new = list(set().union(*(p for p in pieces if p)).difference(self))
+        new = [p for p in set().union(*(p for p in pieces if p)) if p not in self]  # a difference would walk through all that is kept
         found = dict(zip(new, self.library(new), strict=True))
         if len(self) + len(found) > KEPT_WORDS:
             found |= {p: self[p] for p in set().union(*(p for p in pieces if p)) if p in self}

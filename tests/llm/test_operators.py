@@ -312,6 +312,16 @@ def test_piece_counts():
     assert sum(memory.splits(t.encode()) for t in texts) > 200
 
 
+def test_piece_counts_look_up_only_what_they_need():
+    class Kept(tokens.PieceCounts):
+        def __iter__(self):
+            raise AssertionError("all kept pieces are walked through")
+
+    memory = Kept(tokens.load(tokens.tokenizer_path("byte_bpe_50k.json")))
+    texts = [b"one two  three\n four", b"", b"two three five"]
+    assert memory.of(texts) == memory.of(texts) == memory.library(texts)
+
+
 def test_token_counts(spark):
     tok = tokens.load(tokens.tokenizer_path("byte_bpe_50k.json"))
     texts = [*FUZZ, " ".join(prose(8, 3000))]
