@@ -689,6 +689,45 @@ def test_near_pairs_are_compared_at_once():
     assert len(left) == 0 and calls < 200 * n  # pair by pair: over a million
 
 
+def test_near_pairs_of_copies_are_few(monkeypatch):
+    """Of many copies each is compared with few others, not with hundreds of those that are connected."""
+    rng, n, compared, alike = np.random.default_rng(10), 600, 0, passages.windows_alike
+    regions = rng.integers(0, 2**32, (3, 91), dtype=np.uint32)[np.arange(n) % 3]
+    regions[np.arange(n), rng.integers(0, 20, n)] = rng.integers(0, 2**32, n, dtype=np.uint32)
+
+    def counted(both, one, *rest):
+        nonlocal compared
+        compared += len(one)
+        return alike(both, one, *rest)
+
+    monkeypatch.setattr(passages, "windows_alike", counted)
+    left, right = passages.near_pairs(list(regions), np.full(n, 45), np.arange(n), np.full(n, 45), 46, 0.75)
+    assert len(left) == n - 3 and (left % 3 == right % 3).all() and compared < 8 * n
+
+
+def test_near_pairs_of_lists_together():
+    """Lists that come together are answered as if alone, also those with the same surroundings, repeated tokens or places of one text."""
+    rng, sizes, connected = np.random.default_rng(11), [2, 70, 5, 400, 30], []
+    base = rng.integers(0, 2**32, (20, 91), dtype=np.uint32)
+    base[14:] = base[14:, np.arange(91) % 7]
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    regions = base[rng.integers(0, 20, len(number))]
+    for region in regions:
+        k = int(rng.integers(0, 14))
+        region[rng.integers(0, 91, k)] = rng.integers(0, 2**32, k, dtype=np.uint32)
+    ids, places = np.arange(len(number)) // 2, np.arange(len(number)) % 2 * 30 + 45
+    rows = np.array(regions)
+    together = passages.near_pairs(list(rows), np.full(len(rows), 45), ids, places, 46, 0.75, number)
+    alone = [np.empty((2, 0), dtype=np.int64)]
+    for k in range(len(sizes)):
+        at = np.flatnonzero(number == k)
+        alone.append(at[np.array(passages.near_pairs(list(rows[at]), np.full(len(at), 45), ids[at], places[at], 46, 0.75))])
+    for left, right in (together, np.concatenate(alone, axis=1)):
+        assert (number[left] == number[right]).all() and (left < right).all() and (ids[left] != ids[right]).all()
+        connected.append(dict(zip(*(x.tolist() for x in common.least_of_component(left, right)), strict=True)))
+    assert connected[0] == connected[1] and 20 < len(together[0]) < len(rows) - len(sizes)
+
+
 def test_near_copies_in_a_wide_list(spark):
     phrase, first, second = prose(31, 38, 10**6), [], []
     for k in range(600):  # each text is like one other, far behind it; all share a phrase, which alone is too little
